@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (with word boundary marks) and of itself as a whole,
-all hashed into one table; a text is the mean of its words; two classes are scored by a linear softmax. Words
+all hashed into one table; a text is the mean of its words and of SMOOTH neutral ones; two classes are scored by a linear softmax. Words
 that were never seen share the n-gram vectors of those that were.
 """
 
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.common import fold, labelled_sample
 
-BUCKETS, DIM = 1 << 17, 8
+BUCKETS, DIM = 1 << 17, 4
+#: Neutral words that every text gets besides its own, so that a word weighs less in a text of a few words.
+SMOOTH = 20
 #: Rows learned from, at most, of each label; of these only texts of up to MAX_TRAIN_BYTES bytes.
 TRAIN_ROWS = {0: 4000, 1: 2500}
 MAX_TRAIN_BYTES = 20_000
@@ -52,30 +54,31 @@ class Model:
         return float(self.margin[subwords(word)].mean())
 
 
-def train(texts: list[dict[str, int]], labels: list[int], epochs: int = 12, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 3, parts: int = 4, seed: int = 11) -> Model:
+def train(texts: list[dict[str, int]], labels: list[int], steps: int = 750, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, seed: int = 11) -> Model:
     """Joint training of table and softmax by Adam with weight decay on mini-batches of {word: count} texts.
 
     Every part of a clean text is clean, so small bags of its words (`parts` a text) are learned as clean too; that
-    keeps single words, and texts that repeat one, from being judged by chance. Words of fewer than min_texts texts count in a text's length but move no vector, lest rare words be learned by
-    heart; if that leaves no word, all are used. Without texts of both classes the model is indifferent."""
+    keeps unseen words, and texts that repeat one, from being judged by chance. In whole texts, words of fewer than
+    min_texts texts count in the length but move no vector, lest rare words be learned by heart; if that leaves no
+    word, all are used. Without texts of both classes the model is indifferent."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    texts, labels = list(texts), list(labels)
+    labels = list(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros_like(table), out, bias)
     in_texts = Counter(w for t in texts for w in t)
-    total = [max(1, sum(t.values())) for t in texts]
+    total = [SMOOTH + sum(t.values()) for t in texts]
     least = min(min_texts, max(in_texts.values(), default=1))
-    texts = [{w: n for w, n in t.items() if in_texts[w] >= least} for t in texts]
+    whole, texts = texts, [{w: n for w, n in t.items() if in_texts[w] >= least} for t in texts]
     for k in range(len(labels)):
-        words = sorted(texts[k])
+        words = sorted(whole[k])
         if labels[k] == 0 and words:
             for n in rng.integers(1, 5, parts):
                 texts.append(dict.fromkeys((words[j] for j in rng.integers(0, len(words), n)), 1))
                 labels.append(0)
-                total.append(len(texts[-1]))
+                total.append(SMOOTH + len(texts[-1]))
     vocab = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
     subs = [subwords(w) for w in vocab]
     n_sub = np.array([len(s) for s in subs])
@@ -89,10 +92,10 @@ def train(texts: list[dict[str, int]], labels: list[int], epochs: int = 12, rate
     mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros_like(bias), np.zeros_like(bias)
     step = 0
     some = [k for k in range(len(texts)) if len(doc_w[k])]
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // max(1, len(some)))):
         order = rng.permutation(some)
-        for at in range(0, len(order), 512):
-            ks = order[at : at + 512]
+        for at in range(0, len(order), batch):
+            ks = order[at : at + batch]
             step += 1
             lens = np.array([len(doc_w[k]) for k in ks])
             w_all, x_all = np.concatenate([doc_w[k] for k in ks]), np.concatenate([doc_x[k] for k in ks])
@@ -159,7 +162,7 @@ def score_text(text: str, model: Model) -> float:
         if m is None:
             m = _MARGINS[w] = model.word_margin(w)
         total += m
-    return float(1 / (1 + np.exp(-np.clip(total / max(1, len(words)) + model.bias, -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(total / (SMOOTH + len(words)) + model.bias, -30, 30))))
 
 
 def toxicity_score(text: Column, model: Model, spark) -> Column:
