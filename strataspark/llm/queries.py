@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import langid, media, packing, quality, sharding, toxicity
+from strataspark.llm import jaccard_join, langid, media, packing, quality, sharding, toxicity
 from strataspark.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -40,7 +44,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
-        op2_quality_classifier, op3_language_id, op4_best_fit_packing, op5_sharding, op9_toxicity, op10_media_columns,
+        op1_ngram_jaccard_join, op2_quality_classifier, op3_language_id, op4_best_fit_packing, op5_sharding, op9_toxicity, op10_media_columns,
     )}
 
 
