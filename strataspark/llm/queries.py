@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import jaccard_join, langid, media, neardup, packing, quality, sentencepieces, sharding, toxicity
+from strataspark.llm import jaccard_join, langid, media, neardup, packing, quality, secrets, sentencepieces, sharding, toxicity
 from strataspark.llm.common import table
 
 
@@ -37,6 +37,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each candidate; the value itself is given as its digest only."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)), path="source")
+    return found.select("doc_id", "word", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), F.round("score", 9).alias("score"), "is_secret")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -53,7 +59,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_quality_classifier, op3_language_id, op4_best_fit_packing, op5_sharding,
-        op6_sentencepiece, op8_embedding_near_dedup, op9_toxicity, op10_media_columns,
+        op6_sentencepiece, op7_secret_scan, op8_embedding_near_dedup, op9_toxicity, op10_media_columns,
     )}
 
 
