@@ -36,7 +36,7 @@ class ChunkEncoder:
     A chunk of letters that may end in one comma or full stop is the word's ids and that mark's, for the tokenizer
     splits there; new words are encoded many in a call and parted at the tokens that end a word."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
