@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fresh
+from strataspark.llm.common import fresh, written
 
 VALUE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: A text that holds no candidate has no match of this; tried once a run, so a very long run costs no more.
@@ -162,8 +162,10 @@ def _vectors(found: DataFrame) -> DataFrame:
 
 def fit(findings: DataFrame) -> RandomForestClassificationModel:
     """A forest from labelled findings (doc_id, text, path, label). Rows whose text has no candidate teach nothing."""
+    findings = written(findings, "findings")  # bounded; the rule that makes them is a large expression
     found = candidates(findings, path="path").join(findings.select("doc_id", "label"), "doc_id")
     rows = _vectors(found).select("features", F.col("label").cast("double").alias("label"), "doc_id").coalesce(1).sortWithinPartitions("doc_id")
+    rows = written(rows, "findings")
     return RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED, minInstancesPerNode=2).fit(rows)
 
 
