@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.llm import jaccard_join, packing, quality, secrets, toxicity
-from strataspark.llm.common import forget, fresh, table, written
+from strataspark.llm.common import forget, fresh, may_hold, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group that links of Jaccard similarity >= 0.8 hold together."""
-    gone = jaccard_join.jaccard_classes(docs, 0.8).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(jaccard_join.jaccard_classes(docs, 0.8).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    name = fresh(docs, "maybe_gone")
+    flagged = may_hold(docs, "doc_id", gone, "doc_id", name)
+    checked = flagged.where(F.col(name)).join(gone, "doc_id", "left_anti")
+    return flagged.where(~F.col(name)).select(*docs.columns).unionAll(checked.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

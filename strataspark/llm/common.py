@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.functions.storage import forget, shared_dir, written
+from strataspark.operators.graph import connected_components
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local default."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+__all__ = ["components", "may_hold", "fold", "forget", "fresh", "labelled_sample", "shared_dir", "table", "written"]
 
+components = connected_components
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df under the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataspark/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._written_to = path
-    return out
 
-
-def forget(df: DataFrame | None) -> None:
-    """Delete the folder behind a written() table that no later plan reads."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -74,45 +50,16 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, held: int, bound:
     return out
 
 
-def components(edges: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reachable.
-
-    Alternating large-star and small-star steps. Each step is a partial aggregate and a join (so a hub is
-    never gathered into one task) and is written to the shared folder; only a count and a checksum per step
-    reach the driver."""
-    spark = edges.sparkSession
-    both = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        tag,
-    )
-    state = None
-    for _ in range(rounds):
-        # large star: larger neighbours of u point at the least of u and its neighbours
-        sym = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # small star: u and its smaller neighbours point at the least of them
-        large = written(large.distinct(), tag)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .union(low.select("u", F.col("m").alias("v")))
-        )
-        after = written(small.distinct(), tag)
-        seen = after.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        forget(both)
-        forget(large)
-        both = after
-        if state == tuple(seen):
-            break
-        state = tuple(seen)
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = both.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return both.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+def may_hold(rows: DataFrame, key: str, ids: DataFrame, id_: str, flag: str, bits: int = 1 << 26) -> DataFrame:
+    """rows with a boolean column `flag`: false only if no row of ids has the key. A bitmap of hashed ids, `bits` / 8
+    bytes at most whatever the input, is broadcast in pieces of 4 KB; where it fills up, more rows are flagged and
+    nothing else changes. It keeps texts that a join would drop from being shuffled."""
+    place = F.pmod(F.xxhash64(F.col(id_).cast("long")), F.lit(bits))
+    pieces = ids.select(place.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("__piece"))
+    pieces = pieces.agg(F.bitmap_construct_agg(F.pmod(F.col("h"), F.lit(32768))).alias("__bits"))
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    pos = F.pmod(at, F.lit(32768))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    out = rows.withColumn("__at", pos).join(F.broadcast(pieces), F.floor(at / 32768) == F.col("__piece"), "left")
+    hit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1")
+    return out.withColumn("__byte", byte).withColumn(flag, F.coalesce(hit == 1, F.lit(False))).drop("__at", "__piece", "__bits", "__byte")

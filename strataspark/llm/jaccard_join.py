@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import components, forget, written
+from strataspark.llm.common import components, forget, may_hold, written
 
 WORDS, TREES, DEPTH, TARGET_RECALL = 5, 16, 6, 0.995
 #: Members of a block of a trie node, and members and grams of a block of a cluster.
@@ -267,10 +267,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, target: float = TAR
         .sortWithinPartitions("node", "a", "b")
         .mapInPandas(_node_edges(least), "a long, b long")
     )
-    clusters = components(edges, "candidates").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     size = written(reps.select("set_key", "rep", "copies", "n_grams").join(clusters, "rep"), "clusters")
     blocks = size.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_grams") / GRAM_BLOCK)).alias("blocks"))
-    wanted = size.join(blocks, "cluster").select("rep", "cluster", "copies", "blocks", "set_key")
+    wanted = written(size.join(blocks, "cluster").select("rep", "cluster", "copies", "blocks", "set_key"), "wanted")
 
     def gram_sets(batches):
         for pdf in batches:
@@ -280,7 +280,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, target: float = TAR
                 own = [xxhash.xxh128_digest(g) == k for g, k in zip(raw, part["set_key"], strict=True)]
                 yield part[["cluster", "rep", "copies", "blocks"]].assign(grams=raw)[own]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = may_hold(texts, "rep", wanted, "rep", "wanted").where("wanted").join(wanted, "rep")
     sets = texts.select("cluster", "rep", "copies", "blocks", "set_key", "text").mapInPandas(
         gram_sets, "cluster long, rep long, copies long, blocks long, grams binary"
     )
@@ -293,7 +294,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, target: float = TAR
         "links",
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
+    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = linked.select(F.col("node").alias("rep"), "component")
     forget(size)
     result = reps.select("set_key", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left").select(

@@ -332,7 +332,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = TAR
             break
         forget(found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vectors-cc").select(F.col("node").alias("rep"), "component")
+    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     result = reps.join(links, "rep", "left").join(linked, "rep", "left").select(
         F.col("label").alias("l"), F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
