@@ -31,7 +31,7 @@ CALLS = """select cast(s_suppkey as bigint) as src, cast(case when s_suppkey % 5
   'calls' as kind, cast(case when s_suppkey % 7 = 0 then 250000 when s_suppkey % 3 = 0 then 600000 else 900000 end as bigint) as grade
 from supplier where not (s_suppkey % 5 = 4 and (s_suppkey - s_suppkey % 5) % 15 = 0)
 union all select cast(s_suppkey as bigint), cast(s_suppkey + 5 as bigint), 'imports', cast(500000 as bigint) from supplier where s_suppkey % 5 = 2 and (s_suppkey - s_suppkey % 5) % 20 <> 15
-union all select cast(s_suppkey as bigint), cast(s_suppkey as bigint), 'references', cast(900000 as bigint) from supplier where s_suppkey % 25 = 0"""
+union all select cast(s_suppkey as bigint), cast(s_suppkey + 0 as bigint), 'references', cast(900000 as bigint) from supplier where s_suppkey % 25 = 0"""
 
 #: documents as files of two snapshots: some are gone, some are new, some moved, some rewritten.
 BEFORE = """select concat('src/', source, '/', cast(doc_id as varchar(20))) as path, sha2(text, 256) as content_hash, lang as language from documents where doc_id % 11 <> 0"""
