@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strataspark.llm.common import components, forget, written
 from strataspark.llm.jaccard_join import block_pairs, by_run, roots_of
 
-BLOCK, DEGREE, ALPHA, POOL, MEDOIDS = 1500, 24, 1.2, 64, 16
+BLOCK, DEGREE, ALPHA, POOL, MEDOIDS = 500, 24, 1.2, 64, 16
 #: Centroids keep a cosine below this.
 APART = 0.9
 #: Centroids in all, and rows of the sample that they are fitted on.
