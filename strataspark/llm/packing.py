@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import written
+from strataspark.llm.common import memo, trim, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one ranking block holds on average.
@@ -66,28 +66,28 @@ class ChunkEncoder:
         return None
 
     def learn(self, new: list[str]) -> None:
-        known, words, parts, rest = self.known, set(), [], []
+        known, words, parts, rest = self.known, [], [], []
         for c in new:
+            if c.isalpha() and c.isascii() and c.islower():
+                words.append(c)
+                continue
             end = c[-1] if c[-1] in ".," else ""
             base = self.plain(c[: len(c) - len(end)])
             if base is None:
                 rest.append(c)
             else:
                 parts.append((c, base, end))
-                words.add(base)
-        words = list((words | {".", ","}) - known.keys())
-        rest += [w for w in words if not w.isalpha()]
-        words = [w for w in words if w.isalpha()]
+        words += {w for _, w, _ in parts} - known.keys() - set(words)
+        rest += {".", ","} - known.keys() - set(rest)
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 rest += part
                 continue
-            raw, last = ids.tobytes(), 0
-            for w, cut_at in zip(part, cuts, strict=True):
-                known[w], last = raw[4 * last : 4 * cut_at], cut_at
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            known.update(zip(part, [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)], strict=True))
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -102,19 +102,15 @@ class ChunkEncoder:
         if new:
             self.learn(list(new))
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        if len(known) > self.limit:
-            for c in list(known)[self.limit // 2 :]:
-                del known[c]
+        trim(known, self.limit)
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    held = memo("packing")
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 def cut(ids: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int]]:
