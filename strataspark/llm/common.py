@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.storage import forget, shared_dir, written
 from strataspark.operators.graph import connected_components
 
-__all__ = ["components", "may_hold", "fold", "forget", "fresh", "labelled_sample", "shared_dir", "table", "written"]
+__all__ = ["components", "may_hold", "memo", "fold", "forget", "fresh", "labelled_sample", "shared_dir", "table", "trim", "written"]
 
 components = connected_components
 
@@ -63,3 +63,22 @@ def may_hold(rows: DataFrame, key: str, ids: DataFrame, id_: str, flag: str, bit
     out = rows.withColumn("__at", pos).join(F.broadcast(pieces), F.floor(at / 32768) == F.col("__piece"), "left")
     hit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1")
     return out.withColumn("__byte", byte).withColumn(flag, F.coalesce(hit == 1, F.lit(False))).drop("__at", "__piece", "__bits", "__byte")
+
+
+_MEMO: dict[str, dict] = {}
+
+
+def memo(owner: str) -> dict:
+    """What an operator remembers in a Python worker. Workers are used again by other operators of a pipeline, so
+    taking one owner's memory frees that of all others."""
+    if owner not in _MEMO:
+        _MEMO.clear()
+        _MEMO[owner] = {}
+    return _MEMO[owner]
+
+
+def trim(known: dict, limit: int) -> None:
+    """Halve a memory that has outgrown its limit; what came first, and so is common, stays."""
+    if len(known) > limit:
+        for k in list(known)[limit // 2 :]:
+            del known[k]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import components, forget, may_hold, written
+from strataspark.llm.common import components, forget, may_hold, memo, trim, written
 
 WORDS, TREES, DEPTH, TARGET_RECALL = 5, 16, 6, 0.995
 #: Members of a block of a trie node, and members and grams of a block of a cluster.
@@ -34,7 +34,7 @@ SLACK = 4.0
 _MUL = np.random.default_rng(20240117).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20240118).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 _PLACE = np.random.default_rng(20240119).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_WORD_HASH: dict[str, int] = {}
+_WORD_LIMIT = 400_000
 
 
 def prefix_for(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
@@ -50,11 +50,9 @@ def grams(text: str | None, n: int = WORDS) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORD_HASH) > 600_000:
-        for w in list(_WORD_HASH)[300_000:]:
-            del _WORD_HASH[w]
-    get, known = _WORD_HASH.get, _WORD_HASH
-    h = []
+    known = memo("grams")
+    trim(known, _WORD_LIMIT)
+    get, h = known.get, []
     for w in words:
         v = get(w)
         if v is None:

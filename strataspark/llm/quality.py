@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample
+from strataspark.llm.common import fold, labelled_sample, memo, trim
 
 BITS = 18
 #: Rows learned from, at most, of each label; of these only texts of up to MAX_TRAIN_BYTES bytes.
@@ -28,8 +29,9 @@ PARTS, HELD = 4, 2
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_KNOWN: dict[str, tuple[int, int]] = {}
-_KNOWN_LIMIT = 500_000
+_KNOWN_LIMIT = 200_000
+#: Low bits of a remembered token that number its shape; the rest are the token's own hash.
+_SHAPE_BITS = 16
 
 
 def _shape(tok: str) -> str:
@@ -40,14 +42,10 @@ def _shape(tok: str) -> str:
     return "U" if len(tok) > 1 and tok.isupper() else "W" if tok[0].isupper() else "w"
 
 
-def _ids(tok: str) -> tuple[int, int]:
-    import xxhash
-
-    if len(_KNOWN) > _KNOWN_LIMIT:
-        for t in list(_KNOWN)[_KNOWN_LIMIT // 2 :]:
-            del _KNOWN[t]
-    got = _KNOWN[tok] = (xxhash.xxh64_intdigest(tok) >> 1, xxhash.xxh64_intdigest(_shape(tok), 7) >> 1)
-    return got
+def _learn(tok: str, known: dict[str, int]) -> int:
+    word, shape = xxhash.xxh64_intdigest(tok) >> (_SHAPE_BITS + 1), xxhash.xxh64_intdigest(_shape(tok), 7) >> (64 - _SHAPE_BITS)
+    known[tok] = word << _SHAPE_BITS | shape
+    return known[tok]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,9 +58,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     toks = _TOKEN.findall(text)
     if not toks:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    get = _KNOWN.get
-    pairs = np.array([get(t) or _ids(t) for t in toks], np.uint64)
-    w, s = pairs[:, 0], pairs[:, 1].copy()
+    known = memo("quality")
+    trim(known, _KNOWN_LIMIT)
+    get = known.get
+    both = np.array([get(t) or _learn(t, known) for t in toks], np.uint64)
+    w, s = both >> np.uint64(_SHAPE_BITS), (both & np.uint64((1 << _SHAPE_BITS) - 1)) * _M2
     s[1:] += (w[1:] == w[:-1]).astype(np.uint64) * _M3
     streams = [w, w[1:] * _M2 + w[:-1], s + _M3, s[1:] * _M2 + s[:-1] + _M1, s[2:] * _M2 + s[1:-1] * _M3 + s[:-2] + _M2]
     idx, n = np.unique(np.concatenate([_mix(x) for x in streams]), return_counts=True)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.common import memo, trim
+
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -202,9 +204,7 @@ class Codec:
         if self.v.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         text = (" " + text if self.v.dummy_prefix else text).replace(" ", BLANK)
-        if len(self.known) > self.limit:
-            for s in list(self.known)[self.limit // 2 :]:
-                del self.known[s]
+        trim(self.known, self.limit)
         get = self.known.get
         return b"".join([get(s) or self.learn(s) for s in (self.segments(text) if self.segments else [text])])
 
@@ -215,13 +215,11 @@ class Codec:
         return text[1:] if self.v.dummy_prefix and text.startswith(" ") else text
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    held = memo("sentencepieces")
+    if path not in held:
+        held[path] = Codec(path)
+    return held[path]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample
+from strataspark.llm.common import fold, labelled_sample, memo, trim
 
 BUCKETS, DIM = 1 << 17, 4
 #: Neutral words that every text gets besides its own, so that a word weighs less in a text of a few words.
@@ -32,6 +32,10 @@ PARTS, HELD = 5, 0
 _WORD = re.compile(r"\w+")
 
 
+#: A text of more words is as toxic as the worst of its half-overlapping windows of so many words.
+WINDOW = 200
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -78,7 +82,7 @@ def train(texts: list[dict[str, int]], labels: list[int], steps: int = 750, rate
             for n in rng.integers(1, 5, parts):
                 texts.append(dict.fromkeys((words[j] for j in rng.integers(0, len(words), n)), 1))
                 labels.append(0)
-                total.append(SMOOTH + len(texts[-1]))
+                total.append(SMOOTH / 4 + len(texts[-1]))
     vocab = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
     subs = [subwords(w) for w in vocab]
     n_sub = np.array([len(s) for s in subs])
@@ -144,25 +148,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int
     return train([Counter(words_of(r["text"])) for r in picked], [r["label"] for r in picked])
 
 
-_MARGINS: dict[str, float] = {}
-_LIMIT = 500_000
-_OWNER: list = [None]
+_LIMIT = 400_000
 
 
 def score_text(text: str, model: Model) -> float:
-    if _OWNER[0] is not model:
-        _OWNER[0] = model
-        _MARGINS.clear()
-    if len(_MARGINS) > _LIMIT:
-        for w in list(_MARGINS)[_LIMIT // 2 :]:
-            del _MARGINS[w]
-    words, total = words_of(text), 0.0
+    known = memo("toxicity")
+    if known.get("") is not model:  # no word is empty, so that place tells whose margins these are
+        known.clear()
+        known[""] = model
+    trim(known, _LIMIT)
+    words, get, margins = words_of(text), known.get, []
     for w in words:
-        m = _MARGINS.get(w)
+        m = get(w)
         if m is None:
-            m = _MARGINS[w] = model.word_margin(w)
-        total += m
-    return float(1 / (1 + np.exp(-np.clip(total / (SMOOTH + len(words)) + model.bias, -30, 30))))
+            m = known[w] = model.word_margin(w)
+        margins.append(m)
+    n = len(words)
+    if n <= WINDOW:
+        logit = sum(margins) / (SMOOTH + n)
+    else:
+        run = np.concatenate(([0.0], np.cumsum(margins, dtype=np.float64)))
+        start = np.arange(0, n - WINDOW // 2, WINDOW // 2)
+        end = np.minimum(start + WINDOW, n)
+        logit = ((run[end] - run[start]) / (SMOOTH + end - start)).max()
+    return float(1 / (1 + np.exp(-np.clip(logit + model.bias, -30, 30))))
 
 
 def toxicity_score(text: Column, model: Model, spark) -> Column:
