@@ -51,7 +51,7 @@ class ChunkEncoder:
         which makes many chunks alike."""
         low = text.lower()
         sure = text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low))
-        if sure and not _RUN_END.search(text):
+        if sure and not _RUN_END.search(low):
             return low.replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
         return text.replace("\n", " ").split(" ")
 
@@ -62,7 +62,7 @@ class ChunkEncoder:
             return None
         low = word.lower()
         if word.isascii() or ("\u03a3" not in word and is_normalized("NFC", word) and is_normalized("NFC", low)):
-            return low
+            return low if low.isalpha() else None
         return None
 
     def learn(self, new: list[str]) -> None:
