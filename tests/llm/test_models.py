@@ -110,7 +110,7 @@ def test_toxicity_shares_subwords():
     assert np.mean([toxicity.score_text(text(1), m) >= 0.5 for _ in range(40)]) > 0.9
     unseen = ["zapwurkk", "qwimplee", "xzapwurk"]
     assert np.mean([toxicity.score_text(text(1, unseen), m) >= 0.5 for _ in range(40)]) > 0.5
-    long = " ".join(rnd.choice(words) for _ in range(3000)) + " " + text(1)
+    long = " ".join(rnd.choice(words) for _ in range(3000)) + " " + " ".join(text(1) for _ in range(5))
     assert toxicity.score_text(long, m) >= 0.5
     assert 0 <= toxicity.score_text("", m) <= 1
 
