@@ -41,8 +41,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token pieces, placed in sequences of 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+    """All documents as token pieces, placed in sequences of 2048. Workers that ran the stages before have less room,
+    so they remember fewer chunks."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, remember=200_000)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,7 @@ def memo(owner: str) -> dict:
     taking one owner's memory frees that of all others."""
     if owner not in _MEMO:
         _MEMO.clear()
+        gc.collect()
         _MEMO[owner] = {}
     return _MEMO[owner]
 

@@ -34,7 +34,7 @@ SLACK = 4.0
 _MUL = np.random.default_rng(20240117).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20240118).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 _PLACE = np.random.default_rng(20240119).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_WORD_LIMIT = 400_000
+_WORD_LIMIT = 250_000
 
 
 def prefix_for(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:

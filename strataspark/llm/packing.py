@@ -36,7 +36,7 @@ class ChunkEncoder:
     A chunk of letters that may end in one comma or full stop is the word's ids and that mark's, for the tokenizer
     splits there; new words are encoded many in a call and parted at the tokens that end a word."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
@@ -106,10 +106,14 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
+#: Chunks that a worker remembers; about 200 bytes each.
+REMEMBER = 1_000_000
+
+
+def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
     held = memo("packing")
     if path not in held:
-        held[path] = ChunkEncoder(path)
+        held[path] = ChunkEncoder(path, remember)
     return held[path]
 
 
@@ -120,12 +124,12 @@ def cut(ids: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int
     return [(k, k * capacity, len(p := ids[at : at + step]) // 4, zlib.crc32(p)) for k, at in enumerate(range(0, len(ids), step))]
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
     """PIECES of every document of docs(doc_id, text). Null text counts as empty and gives one piece with the
     end id alone; a row with a null doc_id keeps it; repeated rows are packed each."""
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, remember)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
@@ -248,6 +252,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
     """Tokenise docs(doc_id, text) and pack all pieces; an empty table gives no rows."""
-    return pack(written(tokenised_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(written(tokenised_pieces(docs, tokenizer_path, capacity, end_id, remember), "pieces"), capacity)

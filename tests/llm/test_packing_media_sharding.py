@@ -47,7 +47,7 @@ def test_chunked_ids_equal_whole_ids():
     alphabet = "abcDEF .,.,!?'’_\n\t12éÉßΣσςÀ̀İ  日本Ǆ-"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(2000)]
     texts += ["don't we'll I'm.", "a!, b?. c_. d", "Word. word, WORD", "<|endoftext|> a<|startoftext|>b", "", " ", "x y z", "Ώ. é, É"]
-    got = packing.ChunkEncoder(PATH).encode(texts)
+    got = packing.ChunkEncoder(PATH, 1000).encode(texts)
     tok = Tokenizer.from_file(PATH)
     for t, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
