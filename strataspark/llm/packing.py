@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,7 +26,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BLOCK_ROWS = 20_000
 
 
-_RUN_END = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+_RUN_END = re.compile(r"[.,](?<=[^\w\s].|_.)[ \n]")
+#: Marks that may end a chunk; after a letter they are one run of their own to the tokenizer.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class ChunkEncoder:
@@ -33,8 +36,7 @@ class ChunkEncoder:
 
     The tokenizer never joins characters over a blank, so a text's ids are those of its blank-separated chunks in
     order; chunks are encoded once and remembered (`limit` of them at most, the earliest and so commonest stay).
-    A chunk of letters that may end in one comma or full stop is the word's ids and that mark's, for the tokenizer
-    splits there; new words are encoded many in a call and parted at the tokens that end a word."""
+    A chunk of letters that ends in a run of marks is the word's ids and that run's, for the tokenizer splits there; new words are encoded many in a call and parted at the tokens that end a word."""
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
@@ -71,14 +73,16 @@ class ChunkEncoder:
             if c.isalpha() and c.isascii() and c.islower():
                 words.append(c)
                 continue
-            end = c[-1] if c[-1] in ".," else ""
-            base = self.plain(c[: len(c) - len(end)])
+            word = c.rstrip(_MARKS)
+            end = c[len(word) :]
+            base = self.plain(word)
             if base is None:
                 rest.append(c)
             else:
                 parts.append((c, base, end))
-        words += {w for _, w, _ in parts} - known.keys() - set(words)
-        rest += {".", ","} - known.keys() - set(rest)
+        there = known.__contains__  # a set minus all keys would walk the whole memory
+        words += filterfalse(there, {w for _, w, _ in parts}.difference(words))
+        rest += filterfalse(there, {end for *_, end in parts}.difference(rest))
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -97,17 +101,27 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [self.chunks(t) for t in texts]
-        new = set().union(*split) - known.keys()
+        get, out, open_, new = known.get, [], [], set()
+        for k, t in enumerate(texts):
+            chunks = self.chunks(t)
+            ids = list(map(get, chunks))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            out.append(b"" if holes else b"".join(ids))
+            if holes:
+                open_.append((k, ids, holes, chunks))
+                new.update([chunks[i] for i in holes])
         if new:
             self.learn(list(new))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for k, ids, holes, chunks in open_:
+            for i in holes:
+                ids[i] = known[chunks[i]]
+            out[k] = b"".join(ids)
         trim(known, self.limit)
         return out
 
 
 #: Chunks that a worker remembers; about 200 bytes each.
-REMEMBER = 1_000_000
+REMEMBER = 1_300_000
 
 
 def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
