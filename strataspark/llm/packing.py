@@ -23,7 +23,7 @@ from strataspark.llm.common import memo, trim, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces that one ranking block holds on average.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 _RUN_END = re.compile(r"[.,](?<=[^\w\s].|_.)[ \n]")

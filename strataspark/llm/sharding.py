@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket on average.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 def _numbered(df: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
