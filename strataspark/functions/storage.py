@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local default."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local default that
+    goes when the driver ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints"
+        at = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 

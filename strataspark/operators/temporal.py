@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strataspark.functions.text import tokens
 
 
+MAX_POINTS = 1000
+
+
 def fact_intervals(observations: DataFrame, timeline: DataFrame) -> DataFrame:
     """Facts (fact_id, subject, predicate, object, opened_idx, closed_idx) from observations(idx, subject, predicate,
     object) on a timeline(idx) without gaps: a fact opens at its first observation and closes at the first index
@@ -23,9 +26,12 @@ def fact_intervals(observations: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def active_at(facts: DataFrame, points: DataFrame) -> DataFrame:
-    """(at, fact) for each point(at): facts with opened_idx <= at and (open or closed_idx > at). Points are few."""
+    """(at, fact) for each point(at): facts with opened_idx <= at and (open or closed_idx > at). At most MAX_POINTS points;
+    more are an error."""
+    if points.count() > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} points")
     holds = (F.col("opened_idx") <= F.col("at")) & (F.col("closed_idx").isNull() | (F.col("closed_idx") > F.col("at")))
-    return facts.join(F.broadcast(points.limit(1000)), holds)
+    return facts.join(F.broadcast(points), holds)
 
 
 def journal_stats(facts: DataFrame) -> DataFrame:

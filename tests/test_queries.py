@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from strataspark.plans import browse, diffs, facts, mining, reach, services
+from strataspark.plans import browse, contracts, diffs, facts, mining, reach, services
 from strataspark.plans.inputs import TABLES
 
-PLANS = {name: (f, plan.ORACLE[name]) for plan in (browse, mining, reach, diffs, facts, services) for name, f in plan.QUERIES.items()}
+PLANS = {name: (f, plan.ORACLE[name]) for plan in (browse, mining, reach, diffs, facts, services, contracts) for name, f in plan.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +29,5 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_sql():
-    for plan in (browse, mining, reach, diffs, facts, services):
+    for plan in (browse, mining, reach, diffs, facts, services, contracts):
         assert plan.QUERIES.keys() == plan.ORACLE.keys()
