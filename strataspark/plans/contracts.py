@@ -106,7 +106,7 @@ kinds as (
     from (select * from b where (route, method) in (select (route, method) from a)) b full join (select * from a where (route, method) in (select (route, method) from b)) a on a.route = b.route and a.method = b.method and a.name = b.name)"""
 
 ORACLE = {
-    "first_parent_walk": f"with recursive {_COMMITS}, w as (select 45::bigint as oid, 0::bigint as step union all select p1, step + 1 from w join c using (oid) where p1 is not null and step < 29) select oid, step from w",
+    "first_parent_walk": f"with recursive {_COMMITS}, w as (select oid, 0::bigint as step from c where oid = 45 union all select p1, step + 1 from w join c using (oid) where p1 is not null and step < 29) select oid, step from w",
     "topological_levels": f"""with recursive {_COMMITS}, k as (select * from c where oid % 50 between 1 and 12), e as (select oid, p1 as p from k where p1 is not null union select oid, p2 from k where p2 is not null),
 w as (select oid, 0 as level from k where p1 is null or p1 not in (select oid from k) union select e.oid, level + 1 from w join e on e.p = w.oid) select oid, max(level)::bigint as level from w group by oid""",
     "commit_decorations": f"""with {_COMMITS}, r as (select c_custkey % 100 + 1 as oid, string_agg(distinct c_name, ',' order by c_name) as refs from customer where c_custkey % 20 = 0 group by 1)
