@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,7 +58,7 @@ class Model:
         return float(self.margin[subwords(word)].mean())
 
 
-def train(texts: list[dict[str, int]], labels: list[int], steps: int = 750, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, seed: int = 11) -> Model:
+def train(texts: Iterable[dict[str, int]], labels: list[int], steps: int = 750, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, seed: int = 11) -> Model:
     """Joint training of table and softmax by Adam with weight decay on mini-batches of {word: count} texts.
 
     Every part of a clean text is clean, so small bags of its words (`parts` a text) are learned as clean too; that
@@ -72,30 +72,38 @@ def train(texts: list[dict[str, int]], labels: list[int], steps: int = 750, rate
     labels = list(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros_like(table), out, bias)
-    in_texts = Counter(w for t in texts for w in t)
-    total = [SMOOTH + sum(t.values()) for t in texts]
-    least = min(min_texts, max(in_texts.values(), default=1))
-    whole, texts = texts, [{w: n for w, n in t.items() if in_texts[w] >= least} for t in texts]
+    names: dict[str, int] = {}
+    ids, counts = [], []
+    for t in texts:  # one by one, so that only numbers are held of all texts
+        ids.append(np.array([names.setdefault(w, len(names)) for w in sorted(t)], np.int64))
+        counts.append(np.array([t[w] for w in sorted(t)], np.float32))
+    in_texts = np.bincount(np.concatenate(ids), minlength=len(names))
+    usual = in_texts >= min(min_texts, in_texts.max(initial=1))
+    doc_w = [i[usual[i]] for i in ids]
+    doc_x = [n[usual[i]] / (SMOOTH + n.sum()) for i, n in zip(ids, counts, strict=True)]
     for k in range(len(labels)):
-        words = sorted(whole[k])
-        if labels[k] == 0 and words:
+        if labels[k] == 0 and len(ids[k]):
             for n in rng.integers(1, 5, parts):
-                texts.append(dict.fromkeys((words[j] for j in rng.integers(0, len(words), n)), 1))
+                own = np.unique(ids[k][rng.integers(0, len(ids[k]), n)])
+                doc_w.append(own)
+                doc_x.append(np.full(len(own), 1 / (SMOOTH / 4 + len(own)), np.float32))
                 labels.append(0)
-                total.append(SMOOTH / 4 + len(texts[-1]))
-    vocab = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-    subs = [subwords(w) for w in vocab]
+    used = np.unique(np.concatenate(doc_w))
+    place = np.zeros(len(names), np.int64)
+    place[used] = np.arange(len(used))
+    doc_w = [place[i] for i in doc_w]
+    chosen = np.zeros(len(names), bool)
+    chosen[used] = True
+    subs = [subwords(w) for w, c in zip(names, chosen.tolist(), strict=True) if c]
     n_sub = np.array([len(s) for s in subs])
     start = np.concatenate(([0], np.cumsum(n_sub)))
     flat = np.concatenate([np.array(s, np.int64) for s in subs])
-    doc_w = [np.array([vocab[w] for w in sorted(t)], np.int64) for t in texts]
-    doc_x = [np.array([t[w] for w in sorted(t)], np.float32) / n for t, n in zip(texts, total, strict=True)]
     y = np.array(labels, np.int64)
     # what Adam keeps of each parameter
     m_t, v_t = np.zeros_like(table), np.zeros(BUCKETS, np.float32)
     mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros_like(bias), np.zeros_like(bias)
     step = 0
-    some = [k for k in range(len(texts)) if len(doc_w[k])]
+    some = [k for k in range(len(doc_w)) if len(doc_w[k])]
     for _ in range(-(-steps * batch // max(1, len(some)))):
         order = rng.permutation(some)
         for at in range(0, len(order), batch):
@@ -145,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int
         .collect()
     )
     picked.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([Counter(words_of(r["text"])) for r in picked], [r["label"] for r in picked])
+    return train((Counter(words_of(r["text"])) for r in picked), [r["label"] for r in picked])
 
 
 _LIMIT = 400_000
