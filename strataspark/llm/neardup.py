@@ -1,15 +1,16 @@
 """Near-duplicates among embeddings by a robust-pruned flat graph.
 
 1. Vectors with equal label and equal direction form a class and go on as one representative.
-2. Each label is cut into overlapping cluster shards: every representative joins the shards of its `overlap` nearest
-   centroids (spherical k-means over a bounded sample). A shard over BLOCK members is dealt out in blocks.
+2. Each label is cut into overlapping cluster shards (centroids: spherical k-means over a bounded sample): every
+   representative joins the shard of its nearest centroid and of each other one whose border is not farther than
+   linked vectors lie apart, see `shards_of`. A shard over BLOCK members is dealt out in blocks.
 3. Each block gets a graph: nearest neighbours, robust-pruned. Adjacency lists of all blocks that hold a vector are
    united.
 4. In every shard each vector is a query: a greedy beam search from the block's medoids, then range expansion around
    whatever lies within the threshold. Finds are verified by cosine in double precision. A pair that shares several
    shards counts in the least of them, so a shard returns a row for each member (links, root), never the pairs.
-5. The recall is audited by brute force on a bounded set of queries; below the target the join runs again with more
-   overlap and a wider beam.
+5. The recall is audited by brute force, query by query, for groups of each size apart; below the target in any of
+   them the join runs again with wider borders and a wider beam, and after the last setting it is an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm.common import components, forget, written
@@ -29,9 +30,11 @@ BLOCK, DEGREE, ALPHA, POOL, MEDOIDS = 500, 24, 1.2, 64, 16
 APART = 0.9
 #: Centroids in all, and rows of the sample that they are fitted on.
 MAX_CENTROIDS, SAMPLE_EACH = 2048, 16
-AUDIT_QUERIES, TARGET_RECALL = 200, 0.99
-#: (overlap, beam) of the first and of the later tries.
-SETTINGS = ((2, 32), (4, 64), (8, 128))
+#: Audit queries: at least this many, and this many times the square root of the rows.
+AUDIT_QUERIES, AUDIT_ROOTS, TARGET_RECALL = 200, 4, 0.99
+#: (spread, beam) of the first and of the later tries. The distance of two linked vectors across a border is that many
+#: times what it is for a random direction; without bound no linked pair can part.
+SETTINGS = ((2.0, 32), (3.0, 64), (float("inf"), 128))
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
@@ -248,7 +251,20 @@ def _centroids(reps: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, overlap: int, beam: int) -> DataFrame:
+def shards_of(v: np.ndarray, c: np.ndarray, least: float, spread: float) -> list[int]:
+    """The centroids c whose shards the unit vector v joins: the nearest one, and each whose border with it is within
+    the reach of a link. Vectors of cosine >= least lie at most chord = sqrt(2 - 2 * least) apart, so if v joined all
+    borders within chord it would meet each of its links in that one's nearest shard. Across one border a random
+    direction of that length goes chord / sqrt(dimension), `spread` times which is the reach, chord at most."""
+    chord = np.sqrt(max(2 - 2 * least, 0.0))
+    reach = chord * min(1.0, spread / np.sqrt(len(v)))
+    near = c @ v
+    best = int(near.argmax())
+    apart = np.sqrt(np.maximum(((c - c[best]) ** 2).sum(axis=1), 0.0))
+    return np.flatnonzero(near[best] - near <= reach * apart + 1e-9).tolist()
+
+
+def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spread: float, beam: int) -> DataFrame:
     shared = reps.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches):
@@ -259,9 +275,7 @@ def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, over
                 if c is None or c.shape[1] != len(v):
                     shards.append([0])
                 else:
-                    near = c @ v
-                    k = min(overlap, len(near))
-                    shards.append(np.argpartition(-near, k - 1)[:k].tolist())
+                    shards.append(shards_of(v, c, least, spread))
             yield pdf.assign(shards=shards)
 
     placed = reps.select("label", "rep", "copies", "unit").mapInPandas(assign, "label string, rep long, copies long, unit binary, shards array<long>")
@@ -275,7 +289,7 @@ def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, over
         .sortWithinPartitions("label", "shard", "a", "rep")
         .mapInPandas(_graphs, "rep long, near array<long>")
     )
-    near = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # `overlap` lists of 2 * DEGREE at most
+    near = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list of 2 * DEGREE at most for each shard
     return (
         block_pairs(members.join(near, "rep"), "blocks", "rep")
         .select("label", "shard", "a", "b", "part", "rep", "copies", "unit", "shards", "near")
@@ -285,33 +299,57 @@ def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, over
     )
 
 
-def audit(reps: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Found / true link mass of a bounded set of representatives, true by brute force over all rows of their labels."""
-    chosen = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(queries).select("label", "rep", "unit").collect()
+def _size_class(n: Column) -> Column:
+    """0 for none, else the number of decimal digits."""
+    return F.when(n > 0, F.length(n.cast("string"))).otherwise(0)
+
+
+def audit(reps: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> dict[int, float]:
+    """Mean recall of a representative's links by the number of decimal digits of its true links, which come from brute
+    force over all rows of its label; a size that no query has is missing.
+
+    At least `queries` queries are made, and AUDIT_ROOTS times the square root of the representatives; as many are
+    taken from each size of found links (none, too), and count for the rows that they stand for."""
+    found = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    known = reps.select("label", "rep", "unit", "copies").join(found.withColumnRenamed("rep", "f"), F.col("rep") == F.col("f"), "left")
+    known = known.select("label", "rep", "unit", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    known = known.withColumn("size", _size_class(F.col("links")))
+    sizes = {r["size"]: r["count"] for r in known.groupBy("size").count().collect()}
+    if not sizes:
+        return {}
+    each = -(-max(queries, int(AUDIT_ROOTS * sum(sizes.values()) ** 0.5)) // len(sizes))
+    chosen = []
+    for size in sorted(sizes):
+        chosen += known.where(F.col("size") == size).orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(each).collect()
     by_label: dict[tuple[str, int], list] = {}
     for r in chosen:
         by_label.setdefault((r["label"], len(r["unit"])), []).append((r["rep"], np.frombuffer(bytes(r["unit"]), np.float64)))
+    shared = reps.sparkSession.sparkContext.broadcast({k: ([i for i, _ in own], np.stack([v for _, v in own]).T) for k, own in by_label.items()})
 
     def run(batches):
         for pdf in batches:
             for (label, size), part in pdf.groupby([pdf["label"], pdf["unit"].map(len)]):
-                own = by_label.get((label, size))
+                own = shared.value.get((label, size))
                 if own:
-                    hit = _stack(part) @ np.stack([v for _, v in own]).T >= least
-                    mass = (hit * part["copies"].to_numpy()[:, None]).sum(axis=0)
-                    yield pd.DataFrame({"rep": [i for i, _ in own], "mass": mass.astype(np.int64)})
+                    ids, q = own
+                    mass = np.zeros(len(ids))
+                    for at in range(0, len(part), 500):
+                        some = part.iloc[at : at + 500]
+                        mass += some["copies"].to_numpy() @ (_stack(some) @ q >= least)
+                    yield pd.DataFrame({"rep": ids, "mass": mass.astype(np.int64)})
 
     true = reps.select("label", "copies", "unit").mapInPandas(run, "rep long, mass long").groupBy("rep").agg(F.sum("mass").alias("mass"))
-    own = reps.select(F.col("rep").alias("r"), "copies")
-    found = links.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "f")
-    got = (
-        F.broadcast(true)  # at most `queries` rows
-        .join(own, F.col("rep") == F.col("r"))
-        .join(found, F.col("rep") == F.col("f"), "left")
-        .agg(F.sum(F.coalesce("links", F.lit(0))).alias("found"), F.sum(F.col("mass") - F.col("copies")).alias("true"))
-        .first()
-    )
-    return 1.0 if not got["true"] else got["found"] / got["true"]
+    mass = {r["rep"]: r["mass"] for r in true.collect()}  # a row for each query
+    taken = {size: min(each, n) for size, n in sizes.items()}
+    got: dict[int, list[float]] = {}
+    for r in chosen:
+        links_there = mass[r["rep"]] - r["copies"]
+        if links_there > 0:
+            weight = sizes[r["size"]] / taken[r["size"]]
+            total = got.setdefault(len(str(links_there)), [0.0, 0.0])
+            total[0] += weight * min(1.0, r["links"] / links_there)
+            total[1] += weight
+    return {size: a / b for size, (a, b) in sorted(got.items())}
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = TARGET_RECALL) -> DataFrame:
@@ -326,11 +364,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = TAR
     classes = one.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     reps = written(classes, "vectors")
     centroids = _centroids(reps)
-    for overlap, beam in SETTINGS:
-        found = written(_links(reps, centroids, least, overlap, beam), "links")
-        if audit(reps, found, least) >= target or (overlap, beam) == SETTINGS[-1]:
+    for spread, beam in SETTINGS:
+        found = written(_links(reps, centroids, least, spread, beam), "links")
+        recall = audit(reps, found, least)
+        if min(recall.values(), default=1.0) >= target:
             break
         forget(found)
+    else:
+        raise ValueError(f"near_duplicates: recall by digits of true links {recall}, wanted {target} in each")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     result = reps.join(links, "rep", "left").join(linked, "rep", "left").select(

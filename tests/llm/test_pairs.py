@@ -131,3 +131,34 @@ def test_graph_search_finds_what_brute_force_finds():
     want = {tuple(p) for p in np.argwhere(x @ x.T >= 0.98)}
     got = set(zip(i.tolist(), j.tolist(), strict=True))
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_audit_judges_small_groups_apart(spark):
+    """One group of 300 that is found whole, and 20 pairs of which none is found."""
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=24) + 0.001 * rng.normal(size=(300, 24))
+    pairs = rng.normal(size=(20, 24)).repeat(2, axis=0) + 0.001 * rng.normal(size=(40, 24))
+    x = np.vstack([hot, pairs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    reps = spark.createDataFrame([("a", k, 1, v.tobytes()) for k, v in enumerate(x)], "label string, rep long, copies long, unit binary")
+    links = spark.createDataFrame([(k, 299, 0) for k in range(300)], "rep long, links long, root long")
+    assert neardup.audit(reps, links, 0.98) == {1: 0.0, 3: 1.0}
+
+
+def test_linked_vectors_share_a_shard():
+    """Nearest centroids by count (two) lose 3 to 6 in 100 of these pairs."""
+    rng = np.random.default_rng(0)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    c = neardup.kmeans(unit(rng.normal(size=(4096, 32))), 256)
+    x = unit(rng.normal(size=(1000, 32)))
+    e = rng.normal(size=x.shape)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * unit(e - (e * x).sum(axis=1)[:, None] * x)
+    for spread, _ in neardup.SETTINGS:
+        assert all(set(neardup.shards_of(a, c, 0.98, spread)) & set(neardup.shards_of(b, c, 0.98, spread)) for a, b in zip(x, y, strict=True))
+
+
+def test_missed_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "audit", lambda *_: {1: 0.5, 3: 1.0})
+    df = spark.createDataFrame(vectors(3, 40), "vec_id long, embedding array<double>, label int")
+    with pytest.raises(ValueError, match="recall"):
+        neardup.near_duplicates(df, 0.98)
