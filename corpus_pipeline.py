@@ -58,9 +58,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's output: masked texts as pieces with their token ids and places; see also packing.sequences."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         before, docs = docs, written(stage(spark, docs, sf_dir), name)
         forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output with token ids given as their digest only, taken from the ids as placed."""
+    return packed(spark, sf_dir).drop("ids")

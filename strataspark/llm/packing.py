@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.common import memo, trim, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: ids: little-endian uint32 token ids.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Pieces that one ranking block holds on average.
 BLOCK_ROWS = 2_000
 
@@ -131,11 +132,11 @@ def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
     return held[path]
 
 
-def cut(ids: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document: its ids, then end_id, cut every `capacity` ids."""
+def cut(ids: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(piece, start, length, crc32, ids) of a document: its ids, then end_id, cut every `capacity` ids."""
     ids += int(end_id).to_bytes(4, "little")
     step = 4 * capacity
-    return [(k, k * capacity, len(p := ids[at : at + step]) // 4, zlib.crc32(p)) for k, at in enumerate(range(0, len(ids), step))]
+    return [(k, k * capacity, len(p := ids[at : at + step]) // 4, zlib.crc32(p), p) for k, at in enumerate(range(0, len(ids), step))]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
@@ -149,7 +150,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                 part = pdf.iloc[at : at + 512]
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
                 rows = [(d, *p) for d, ids in zip(part["doc_id"], enc.encode(texts), strict=True) for p in cut(ids, capacity, end_id)]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
@@ -225,7 +226,8 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces (PIECES) with sequence_id and offset. Every piece is placed; lengths must be 1..capacity.
+    """pieces (PIECES; any columns besides doc_id, piece, length and ids_crc32 go along) with sequence_id and offset.
+    Every piece is placed; lengths must be 1..capacity.
     Ties (equal lengths) are ranked by (doc_id, piece, ids_crc32); rows equal in all are interchangeable."""
     spark = pieces.sparkSession
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -256,16 +258,21 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
     at = F.col("rank") - F.col("lo")
     return placed.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+        *pieces.columns,
         (F.col("first_bin") + F.floor(at / F.col("each")).cast("long")).alias("sequence_id"),
         (F.col("base") + F.pmod(at, F.col("each")) * F.col("length")).alias("offset"),
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
-    """Tokenise docs(doc_id, text) and pack all pieces; an empty table gives no rows."""
-    return pack(written(tokenised_pieces(docs, tokenizer_path, capacity, end_id, remember), "pieces"), capacity)
+    """Tokenise docs(doc_id, text) and pack all pieces, token ids with them; an empty table gives no rows. ids_crc32 is
+    that of the ids as placed."""
+    placed = pack(written(tokenised_pieces(docs, tokenizer_path, capacity, end_id, remember), "pieces"), capacity)
+    return placed.withColumn("ids_crc32", F.crc32("ids"))
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids) of placed pieces (`pack_documents`): the token ids of each sequence, in order. A
+    sequence's pieces hold `capacity` ids at most."""
+    rows = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("rows"))
+    return rows.select("sequence_id", "length", F.aggregate("rows", F.lit(b""), lambda acc, r: F.concat(acc, r["ids"])).alias("ids"))

@@ -166,3 +166,19 @@ def test_pack_ranks_over_many_blocks(spark, monkeypatch):
         by[r["sequence_id"]] = by.get(r["sequence_id"], 0) + r["length"]
     assert len(rows) == 500 and max(by.values()) <= 10
     assert sorted(10 - v for v in by.values()) == brute_best_fit([k % 9 + 1 for k in range(500)], 10)
+
+
+def test_packed_sequences_hold_the_token_ids(spark, odd_docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    placed = packing.pack_documents(odd_docs, PATH, 64, 0).cache()
+    rows = placed.collect()
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.sequences(placed).collect()}
+    assert sum(map(len, whole.values())) == sum(r["length"] for r in rows)
+    texts = {d["doc_id"]: d["text"] or "" for d in odd_docs.collect()}
+    ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    for r in rows:
+        want = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["ids_crc32"] == zlib.crc32(r["ids"])
+        assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == want
