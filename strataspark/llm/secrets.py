@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. JVM expressions only.
 
-A candidate is a run of 16 or more key characters that holds a digit, inside a word of the text. Its features are its
-length, its character classes and how often they change, how much of it dictionary words cover, whether it looks like
+A candidate is a run of 16 or more key characters that holds a digit, inside a word of the text (`candidates`), or
+whatever is assigned to a secret word or stands as the password of a URL, of any length and characters (`assigned`).
+Its features are its length, its character classes and how often they change, how much of it dictionary words cover, whether it looks like
 (or the text's path says) something other than a secret, and which words stand around it. The forest is trained from
 labelled findings, which a rule makes from hashes (`labelled_findings`), through the same candidate and feature
 expressions, and scored by Spark's own model transform.
@@ -42,7 +43,7 @@ SECRET_WORDS = "token secret password passwd pwd credential apikey api_key acces
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid revision order invoice tracking serial build phone card isbn session_id request_id trace example etag"
 PATH_WORDS = "test tests spec example examples fixture fixtures sample docs mock"
 FEATURES = (
-    "length digits uppers lowers marks changes distinct hexlike uuidlike dictionary slashes assigned "
+    "length digits uppers lowers marks symbols changes distinct hexlike uuidlike dictionary slashes assigned "
     "secret_near other_near path_other prefix_known sequence"
 ).split()
 
@@ -51,6 +52,16 @@ def _one_of(words: str) -> str:
     return "|".join(sorted(words.split(), key=len, reverse=True))
 
 
+#: What follows an assignment to a secret word, up to the quote or blank, and the password of a URL. Groups: 1 and 6
+#: what leads to the value, the others the value. Texts are matched with a line end added.
+ASSIGNED = (
+    rf"((?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{_one_of(SECRET_WORDS)})[A-Za-z0-9_\-]{{0,40}}+[\"'`\]]{{0,2}}+[ \t]*+"
+    r"(?::=|=>|=|:)[ \t]*+(?:(?i:bearer|basic)[ \t]++)?)"
+    r"(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?([^\s\"'`]\S*?)[,;.)\]}\"'`]*\s)"
+    r"|(://[^\s/:@]*:)([^\s/]+)@"
+)
+
+
 def candidates(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, word, value, before, after, path): one row for each candidate of docs(doc_id, text). `word` is the
     index of the white-space separated word that holds it. Null and empty texts have none."""
@@ -74,6 +85,41 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
     return values.select("doc_id", "word", "value", before.alias("before"), F.substring("after", 1, 40).alias("after"), "path")
 
 
+def assigned(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """Like candidates, for what is assigned to secret words and for passwords of URLs, less the values that
+    `candidates` gives. `piece` is the match that holds the value and `masked` the same with the value masked."""
+    t = F.concat(F.col(text).cast("string"), F.lit("\n"))
+    where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
+    rows = docs.where(t.rlike(ASSIGNED)).select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), t.alias("t"))
+    rows = rows.withColumn("pieces", F.regexp_extract_all("t", F.lit(ASSIGNED), F.lit(0)))
+    rows = rows.select("doc_id", "path", "t", "pieces", F.posexplode("pieces").alias("at", "piece"))
+
+    def group(k: int) -> Column:
+        return F.regexp_extract("piece", ASSIGNED, k)
+
+    rows = rows.select("*", F.concat(*[group(k) for k in (2, 3, 4, 5, 7)]).alias("value"), F.length(F.concat(group(1), group(6))).alias("lead"))
+    rows = rows.withColumn("start", F.expr("locate(value, piece, lead + 1)"))
+    rows = rows.withColumn("nth", F.expr("cast(size(filter(slice(pieces, 1, at + 1), x -> x = piece)) as int)"))
+    rows = rows.withColumn("left", F.concat(F.expr("substring_index(t, piece, nth)"), F.expr("substring(piece, 1, start - 1)")))
+    rows = rows.withColumn("rest", F.expr("substring(piece, start + length(value))"))
+    run = F.col("value").rlike(f"^{VALUE}$") & F.col("value").rlike("[0-9]")
+    return rows.where(~run).select(
+        "doc_id",
+        (F.size(F.split("left", r"\s+")) - 1).alias("word"),
+        "value",
+        F.expr("right(left, 80)").alias("before"),
+        F.substring("rest", 1, 40).alias("after"),
+        "path",
+        "piece",
+        F.concat(F.expr("substring(piece, 1, start - 1)"), F.lit(MASK), F.col("rest")).alias("masked"),
+    )
+
+
+def all_candidates(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return candidates(docs, text, path).select("*", none.alias("piece"), none.alias("masked")).unionByName(assigned(docs, text, path))
+
+
 def features(found: DataFrame) -> DataFrame:
     """found (candidates) with the FEATURES columns, all double and never null."""
     v, low = F.col("value"), F.lower("value")
@@ -94,6 +140,7 @@ def features(found: DataFrame) -> DataFrame:
         "uppers": share("A-Z"),
         "lowers": share("a-z"),
         "marks": share("+/_=-"),
+        "symbols": 1 - share("A-Za-z0-9+/_=-"),
         "changes": changes / n,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "hexlike": low.rlike("^[0-9a-f]+$"),
@@ -145,6 +192,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, ["order number ", F.substring(num, 1, 20), " ", b]),
         (0, ["key: 1234567890abcdef", F.substring(num, 1, 2), " ", b]),
         (0, [a, " ", b, "-", c, "-", d, "-v", F.substring(num, 1, 2), " key ", a]),
+        (1, [a, " password=", b, F.substring(num, 1, 2), " ", c]),
+        (1, [a, " password=\"", F.substring(b64, 1, 8), "&", F.substring(num, 1, 1), "\" ", b]),
+        (1, [a, " pwd: ", F.substring(b64, 1, 3), "!", F.substring(b64, 4, 3), "@", F.substring(b64, 7, 3), "#", F.substring(b64, 10, 3), "$ ", b]),
+        (1, [a, " token = \"", F.translate(F.substring(hx, 1, 24), "0123456789", "klqwrtyuio"), "\" ", b]),
+        (1, ["postgres://", a, ":", F.substring(b64, 1, 10), "@", b, " ", c]),
+        (1, [a, " passwd='", F.substring(b64, 1, 7), "' ", b]),
+        (0, ["password: ", a, " ", b]),
+        (0, ["author: ", a, " ", b]),
+        (0, ["tokens: ", F.substring(num, 1, 3), " ", b]),
+        (0, ["password=${", a, "_password} ", b]),
+        (0, ["keywords: ", a, ", ", b, " ", c]),
+        (0, ["password = \"********\" ", b]),
+        (0, ["secret: <", a, "> ", b]),
+        (0, ["https://", a, ":password@", b, ".example ", c]),
     ]
     text, label = F.lit(None).cast("string"), F.lit(None).cast("int")
     kind = F.pmod(F.col("doc_id"), F.lit(len(kinds)))
@@ -163,7 +224,7 @@ def _vectors(found: DataFrame) -> DataFrame:
 def fit(findings: DataFrame) -> RandomForestClassificationModel:
     """A forest from labelled findings (doc_id, text, path, label). Rows whose text has no candidate teach nothing."""
     findings = written(findings, "findings")  # bounded; the rule that makes them is a large expression
-    found = candidates(findings, path="path").join(findings.select("doc_id", "label"), "doc_id")
+    found = all_candidates(findings, path="path").join(findings.select("doc_id", "label"), "doc_id")
     rows = _vectors(found).select("features", F.col("label").cast("double").alias("label"), "doc_id").coalesce(1).sortWithinPartitions("doc_id")
     rows = written(rows, "findings")
     return RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED, minInstancesPerNode=2).fit(rows)
@@ -171,9 +232,13 @@ def fit(findings: DataFrame) -> RandomForestClassificationModel:
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, word, value, score, is_secret) of every candidate in docs; repeated rows are scanned each."""
-    scored = model.transform(_vectors(candidates(docs, text, path)))
+    return _scored(docs, model, text, path).drop("piece", "masked")
+
+
+def _scored(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str | None = None) -> DataFrame:
+    scored = model.transform(_vectors(all_candidates(docs, text, path)))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "word", "value", score.alias("score"), (score >= THRESHOLD).alias("is_secret"))
+    return scored.select("doc_id", "word", "value", "piece", "masked", score.alias("score"), (score >= THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
@@ -181,12 +246,16 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame
     Only rows with candidates are shuffled. Each is matched with its own findings by a hash of its text, so repeated
     ids do no harm and copies share their findings."""
     columns, text_key, other_key, secrets = docs.columns, fresh(docs, "text_key"), fresh(docs, "key"), fresh(docs, "secrets")
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
+    ended = F.concat(F.col("text"), F.lit("\n"))
+    suspect = F.coalesce(F.col("text").rlike(SUSPECT) | ended.rlike(ASSIGNED), F.lit(False))
     suspects = docs.where(suspect).withColumn(text_key, F.xxhash64("text"))
     distinct = suspects.select(F.col(text_key).alias("doc_id"), "text")
-    found = scan(distinct, model).where("is_secret").groupBy(F.col("doc_id").alias(other_key)).agg(F.collect_set("value").alias(secrets))
+    # an assigned value may be short or a common word, so it is masked where it is assigned only
+    part = F.struct(F.col("piece").isNull().alias("run"), F.coalesce("piece", "value").alias("old"), F.coalesce("masked", F.lit(MASK)).alias("new"))
+    found = _scored(distinct, model).where("is_secret").groupBy(F.col("doc_id").alias(other_key)).agg(F.collect_set(part).alias(secrets))
     joined = suspects.join(found, F.col(text_key) == F.col(other_key), "left")
-    by_length = F.array_sort(secrets, lambda x, y: F.when(F.length(x) == F.length(y), F.when(x < y, -1).otherwise(1)).otherwise(F.length(y) - F.length(x)))
-    clean = F.aggregate(by_length, F.col("text"), lambda acc, s: F.replace(acc, s, F.lit(MASK)))
+    ordered = F.array_sort(F.transform(secrets, lambda s: F.struct(s["run"].alias("run"), (-F.length(s["old"])).alias("n"), s["old"].alias("old"), s["new"].alias("new"))))
+    clean = F.aggregate(ordered, ended, lambda acc, s: F.replace(acc, s["old"], s["new"]))
+    clean = F.substring(clean, F.lit(1), F.length(clean) - 1)
     masked = joined.withColumn("text", F.when(F.col(secrets).isNull(), F.col("text")).otherwise(clean)).select(*columns)
     return docs.where(~suspect).select(*columns).unionAll(masked)

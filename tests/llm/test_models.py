@@ -209,3 +209,17 @@ def test_native_plan(spark, forest, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = secrets.scan(docs, forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_assigned_values_of_any_form(spark, forest):
+    texts = {
+        "password=hunter2": "hunter2", 'password="Tr0ub4dor&3",': "Tr0ub4dor&3", "pwd: Xk9!mQ2@vL7#pR4$": "Xk9!mQ2@vL7#pR4$",
+        'token = "dkfjslqpwoeirutyalskdjfh"': "dkfjslqpwoeirutyalskdjfh", "postgres://admin:S3cr3tPw99@db": "S3cr3tPw99",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["value"], r["is_secret"]) for r in secrets.scan(docs, forest).collect()}
+    assert got == {k: (v, True) for k, v in enumerate(texts.values())}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs, forest).collect()}
+    assert masked == {k: t.replace(v, "[SECRET]") for k, (t, v) in enumerate(texts.items())}
+    plain = spark.createDataFrame([(1, "the author: someone\nwrote hunter2"), (2, "password=hunter2 and hunter2 again")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(plain, forest).collect()} == {1: "the author: someone\nwrote hunter2", 2: "password=[SECRET] and hunter2 again"}
