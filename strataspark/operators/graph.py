@@ -125,22 +125,32 @@ def widest_grades(edges: DataFrame, reached: DataFrame, seeds: DataFrame, direct
             return now.select("id", "grade")
 
 
+def _with_least(sym: DataFrame, salts: int) -> DataFrame:
+    """sym(u, v) with m, the least of u and all its v. The least goes to each (u, salt of v) first, so that a hub's
+    rows, of which there are any number, meet it in `salts` keys and not in one."""
+    salted = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Each step is a partial aggregate and a join, so a hub is never
-    gathered into one task; only a count and a checksum a step reach the driver."""
+    Alternating large-star and small-star steps. Each step is a partial aggregate and a join; with about the square root
+    of the edges as salts a hub is at most so many rows to any task, once as its salts and once as the rows of a salt.
+    Only a count and a checksum a step reach the driver."""
     both = written(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"
     )
+    salts = max(1, int(both.count() ** 0.5))
     state = None
     for _ in range(rounds):
         sym = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_least(sym, salts).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large.distinct(), "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        small = _with_least(large, salts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         after = written(small.distinct(), "stars")
         seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         forget(both)
@@ -151,7 +161,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = seen
     else:
         raise RuntimeError("connected components did not settle")
-    return both.select(F.col("u").alias("node"), F.col("v").alias("component")).union(both.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = both.select(F.col("u").alias("node"), F.col("v").alias("component")).union(both.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._written_to = both._written_to
+    return out
 
 
 def _spread(start: DataFrame, steps: DataFrame, tag: str) -> DataFrame:
