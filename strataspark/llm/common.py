@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.storage import forget, shared_dir, written
 from strataspark.operators.graph import connected_components
 
-__all__ = ["components", "may_hold", "memo", "fold", "forget", "fresh", "labelled_sample", "shared_dir", "table", "trim", "written"]
+__all__ = ["columns_of", "components", "may_hold", "memo", "fold", "forget", "fresh", "labelled_sample", "one_text_each", "shared_dir", "table", "trim", "written"]
 
 components = connected_components
 
@@ -33,6 +33,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """df's columns as they are named, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def labelled_sample(labels: DataFrame, label: str, parts: int, held: int, bound: dict[int, int]) -> DataFrame:
     """(doc_id, label) of at most bound[v] rows of each label value v, taken in the order of a hash of doc_id
     from the rows whose fold is not `held`. A doc_id with null or contradicting labels is left out."""
@@ -52,6 +57,13 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, held: int, bound:
     return out
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, label, text) for the ids of sample(doc_id, label), a bounded table, whose text is not null. Of the
+    texts of rows that share an id the least counts, so a repeated id brings one row."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.col("text").cast("string")).alias("text"))
+
+
 def may_hold(rows: DataFrame, key: str, ids: DataFrame, id_: str, flag: str, bits: int = 1 << 26) -> DataFrame:
     """rows with a boolean column `flag`: false only if no row of ids has the key. A bitmap of hashed ids, `bits` / 8
     bytes at most whatever the input, is broadcast in pieces of 4 KB; where it fills up, more rows are flagged and

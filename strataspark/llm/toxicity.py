@@ -1,15 +1,15 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (with word boundary marks) and of itself as a whole,
-all hashed into one table; a text is the mean of its words and of SMOOTH neutral ones; two classes are scored by a linear softmax. Words
-that were never seen share the n-gram vectors of those that were.
+all hashed into one table; a window of WINDOW words is the mean of its words and of SMOOTH neutral ones; two classes
+are scored by a linear softmax, and a text of any length by its worst window, in training as in use. Words that were
+never seen share the n-gram vectors of those that were.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,14 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample, memo, trim
+from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, trim
 
 BUCKETS, DIM = 1 << 17, 4
 #: Neutral words that every text gets besides its own, so that a word weighs less in a text of a few words.
 SMOOTH = 20
-#: Rows learned from, at most, of each label; of these only texts of up to MAX_TRAIN_BYTES bytes.
+#: Words of a window; windows overlap by half.
+WINDOW = 200
+#: Rows learned from, at most, of each label.
 TRAIN_ROWS = {0: 4000, 1: 2500}
-MAX_TRAIN_BYTES = 20_000
+#: Mini-batches of training, whatever the rows.
+STEPS = 750
 THRESHOLD = 0.5
 #: Fold (crc32 of the id modulo 5) that is never learned from.
 PARTS, HELD = 5, 0
@@ -32,10 +35,6 @@ PARTS, HELD = 5, 0
 _WORD = re.compile(r"\w+")
 
 
-#: A text of more words is as toxic as the worst of its half-overlapping windows of so many words.
-WINDOW = 200
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -50,7 +49,8 @@ def subwords(word: str) -> list[int]:
 class Model:
     """Subword table and softmax; word_margin(w) is the word's share in (toxic - clean) of a text's logits."""
 
-    def __init__(self, table: np.ndarray, out: np.ndarray, bias: np.ndarray):
+    def __init__(self, table: np.ndarray, out: np.ndarray, bias: np.ndarray, learned: bool = True):
+        self.learned = learned
         self.margin = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
 
@@ -58,79 +58,137 @@ class Model:
         return float(self.margin[subwords(word)].mean())
 
 
-def train(texts: Iterable[dict[str, int]], labels: list[int], steps: int = 750, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, seed: int = 11) -> Model:
-    """Joint training of table and softmax by Adam with weight decay on mini-batches of {word: count} texts.
+def bags(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word, weight) of every window of a text's word ids, in the order of `window_starts`."""
+    out = []
+    for at in window_starts(len(ids)):
+        own, n = np.unique(ids[at : at + WINDOW], return_counts=True)
+        out.append((own, (n / (SMOOTH + n.sum())).astype(np.float32)))
+    return out
+
+
+def window_starts(n: int) -> range:
+    """First words of the half-overlapping windows of a text of n words; a text of up to WINDOW words is one."""
+    return range(0, max(1, n - WINDOW // 2), WINDOW // 2)
+
+
+def _runs(lens: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs of these lengths begins."""
+    return np.cumsum(lens) - lens
 
-    Every part of a clean text is clean, so small bags of its words (`parts` a text) are learned as clean too; that
-    keeps unseen words, and texts that repeat one, from being judged by chance. In whole texts, words of fewer than
-    min_texts texts count in the length but move no vector, lest rare words be learned by heart; if that leaves no
-    word, all are used. Without texts of both classes the model is indifferent."""
+
+def _gather(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The indices start[k] .. start[k] + lens[k] - 1 of all runs k, one after the other."""
+    return np.repeat(start - _runs(lens), lens) + np.arange(lens.sum())
+
+
+def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, warm: int = 2, seed: int = 11) -> Model:
+    """Joint training of table and softmax by Adam with weight decay on mini-batches of texts (lists of words).
+
+    Each round takes one window of each text: a clean text's worst one under the model so far, for that is what it is
+    scored by, and a random one of a toxic text (and of all texts in the first `warm` rounds), for nobody tells
+    which of its windows are toxic. Every part of a clean text is clean, so small bags of its words
+    (`parts` a text) are learned as clean too; that keeps unseen words, and texts that repeat one, from being judged by
+    chance. Buckets that occur in fewer than min_texts texts do not move, lest rare words be learned by heart: a rare
+    word learns, and is scored, by those of its n-grams that others share. Without texts of both classes the model is
+    indifferent (`learned` is false)."""
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
+    table = np.zeros((BUCKETS, DIM), np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    labels = list(labels)
-    if len(set(labels)) < 2:
-        return Model(np.zeros_like(table), out, bias)
+    labels = np.array(labels, np.int64)
+    if len(set(labels.tolist())) < 2:
+        return Model(table, out, bias, learned=False)
     names: dict[str, int] = {}
-    ids, counts = [], []
+    bag_ids, bag_x, windows, lone = [], [], [], []
     for t in texts:  # one by one, so that only numbers are held of all texts
-        ids.append(np.array([names.setdefault(w, len(names)) for w in sorted(t)], np.int64))
-        counts.append(np.array([t[w] for w in sorted(t)], np.float32))
-    in_texts = np.bincount(np.concatenate(ids), minlength=len(names))
-    usual = in_texts >= min(min_texts, in_texts.max(initial=1))
-    doc_w = [i[usual[i]] for i in ids]
-    doc_x = [n[usual[i]] / (SMOOTH + n.sum()) for i, n in zip(ids, counts, strict=True)]
-    for k in range(len(labels)):
-        if labels[k] == 0 and len(ids[k]):
+        ids = np.array([names.setdefault(w, len(names)) for w in t], np.int32)
+        own = bags(ids)
+        windows.append(len(own))
+        bag_ids += [i for i, _ in own]
+        bag_x += [x for _, x in own]
+        lone.append(np.unique(ids))
+    subs = [subwords(w) for w in names]
+    n_sub = np.array([len(b) for b in subs], np.int64)
+    flat = np.concatenate([np.array(b, np.int64) for b in subs] or [np.zeros(0, np.int64)])
+    start = _runs(n_sub)
+    in_texts = np.zeros(BUCKETS, np.int64)
+    for own in lone:
+        in_texts[np.unique(flat[_gather(start[own], n_sub[own])])] += 1
+    moving = in_texts >= min(min_texts, in_texts.max(initial=1))
+    table[moving] = rng.normal(0, 0.01, (int(moving.sum()), DIM))
+    for own, y in zip(lone, labels.tolist(), strict=True):
+        if y == 0 and len(own):
             for n in rng.integers(1, 5, parts):
-                own = np.unique(ids[k][rng.integers(0, len(ids[k]), n)])
-                doc_w.append(own)
-                doc_x.append(np.full(len(own), 1 / (SMOOTH / 4 + len(own)), np.float32))
-                labels.append(0)
-    used = np.unique(np.concatenate(doc_w))
-    place = np.zeros(len(names), np.int64)
-    place[used] = np.arange(len(used))
-    doc_w = [place[i] for i in doc_w]
-    chosen = np.zeros(len(names), bool)
-    chosen[used] = True
-    subs = [subwords(w) for w, c in zip(names, chosen.tolist(), strict=True) if c]
-    n_sub = np.array([len(s) for s in subs])
-    start = np.concatenate(([0], np.cumsum(n_sub)))
-    flat = np.concatenate([np.array(s, np.int64) for s in subs])
-    y = np.array(labels, np.int64)
-    # what Adam keeps of each parameter
-    m_t, v_t = np.zeros_like(table), np.zeros(BUCKETS, np.float32)
+                part = np.unique(own[rng.integers(0, len(own), n)])
+                bag_ids.append(part)
+                bag_x.append(np.full(len(part), 1 / (SMOOTH / 4 + len(part)), np.float32))
+    # a word moves by its moving buckets only; its vector is still the mean over all of them
+    moves = moving[flat]
+    kept = np.add.reduceat(moves, start) if len(start) else n_sub
+    flat, m_start = flat[moves], _runs(kept)
+    bag_len = np.array([len(i) for i in bag_ids], np.int64)
+    all_ids, all_x, bag_at = np.concatenate(bag_ids), np.concatenate(bag_x), _runs(bag_len)
+    del bag_ids, bag_x, lone, subs
+    windows = np.array(windows, np.int64)
+    first, n_windows = _runs(windows), int(windows.sum())
+    small = np.arange(n_windows, len(bag_len))
+    y_all = np.concatenate([np.repeat(labels, windows), np.zeros(len(small), np.int64)])
+    text_of = np.repeat(np.arange(len(labels)), windows)
+
+    def sums(values: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Sums of runs of rows, none for runs of no row."""
+        got = np.zeros((len(lens), *values.shape[1:]), np.float64)
+        some = lens > 0
+        if some.any():
+            got[some] = np.add.reduceat(values, at[some], axis=0)
+        return got
+
+    def worst() -> np.ndarray:
+        """The window of each text with the greatest margin."""
+        margin = sums((table @ (out[:, 1] - out[:, 0]))[flat], m_start, kept) / np.maximum(n_sub, 1)
+        size = int(bag_len[:n_windows].sum())
+        logit = sums(margin[all_ids[:size]] * all_x[:size], bag_at[:n_windows], bag_len[:n_windows])
+        order = np.lexsort((-logit, text_of))
+        return order[first]
+
+    m_t, v_t = np.zeros_like(table), np.zeros(BUCKETS, np.float32)  # what Adam keeps of each parameter
     mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros_like(bias), np.zeros_like(bias)
-    step = 0
-    some = [k for k in range(len(doc_w)) if len(doc_w[k])]
-    for _ in range(-(-steps * batch // max(1, len(some)))):
-        order = rng.permutation(some)
+    met, place = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    step, rounds = 0, -(-steps * batch // max(1, len(labels) + len(small)))
+    for turn in range(rounds):
+        chosen = first + rng.integers(0, windows)
+        if turn >= warm:
+            chosen = np.where(labels == 0, worst(), chosen)
+        some = np.concatenate([chosen, small])
+        order = rng.permutation(some[bag_len[some] > 0])
         for at in range(0, len(order), batch):
             ks = order[at : at + batch]
             step += 1
-            lens = np.array([len(doc_w[k]) for k in ks])
-            w_all, x_all = np.concatenate([doc_w[k] for k in ks]), np.concatenate([doc_x[k] for k in ks])
-            uniq, inv = np.unique(w_all, return_inverse=True)
-            cnt = n_sub[uniq]
-            pos = np.repeat(start[uniq] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt) + np.arange(cnt.sum())
-            g_ids = flat[pos]
-            word_at = np.concatenate(([0], np.cumsum(cnt)[:-1]))
-            wv = np.add.reduceat(table[g_ids], word_at, axis=0) / cnt[:, None]
-            doc_at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-            h = np.add.reduceat(wv[inv] * x_all[:, None], doc_at, axis=0)
+            lens = bag_len[ks]
+            pos = _gather(bag_at[ks], lens)
+            x = all_x[pos]
+            own = all_ids[pos]
+            met[own] = True
+            uniq = np.flatnonzero(met)
+            met[uniq] = False
+            place[uniq] = np.arange(len(uniq))
+            inv = place[own]
+            cnt = kept[uniq]
+            g_ids = flat[_gather(m_start[uniq], cnt)]
+            wv = sums(table[g_ids], _runs(cnt), cnt) / n_sub[uniq][:, None]
+            h = np.add.reduceat(wv[inv] * x[:, None], _runs(lens), axis=0)
             logit = h @ out + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = p
-            g[np.arange(len(ks)), y[ks]] -= 1
+            g = np.exp(logit - logit.max(1, keepdims=True))
+            g /= g.sum(1, keepdims=True)
+            g[np.arange(len(ks)), y_all[ks]] -= 1
             g /= len(ks)
             g_out, g_bias, g_h = h.T @ g, g.sum(0), g @ out.T
-            per_doc = np.repeat(g_h, lens, axis=0) * x_all[:, None]
-            g_w = np.stack([np.bincount(inv, per_doc[:, d], len(uniq)) for d in range(DIM)], 1) / cnt[:, None]
-            touched, t_inv = np.unique(g_ids, return_inverse=True)
+            per_bag = np.repeat(g_h, lens, axis=0) * x[:, None]
+            g_w = np.stack([np.bincount(inv, per_bag[:, d], len(uniq)) for d in range(DIM)], 1) / n_sub[uniq][:, None]
+            touched = np.flatnonzero(np.bincount(g_ids, minlength=BUCKETS))
             spread = np.repeat(g_w, cnt, axis=0)
-            g_t = np.stack([np.bincount(t_inv, spread[:, d], len(touched)) for d in range(DIM)], 1)
+            g_t = np.stack([np.bincount(g_ids, spread[:, d], BUCKETS)[touched] for d in range(DIM)], 1)
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
             m_t[touched] = 0.9 * m_t[touched] + 0.1 * g_t
             v_t[touched] = 0.999 * v_t[touched] + 0.001 * (g_t * g_t).mean(1)
@@ -143,17 +201,18 @@ def train(texts: Iterable[dict[str, int]], labels: list[int], steps: int = 750,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int, int] = TRAIN_ROWS) -> Model:
-    """Train on a bounded sample of labelled docs(doc_id, text) outside the held-out fold; the driver gets that
-    sample's texts, at most sum(rows) of MAX_TRAIN_BYTES bytes."""
+    """Train on a bounded sample of labelled docs(doc_id, text) outside the held-out fold, one text for each id (the
+    least of several); texts come to the driver one by one and stay there as numbers."""
     sample = labelled_sample(labels, label, PARTS, HELD, rows)
-    picked = (
-        docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES))
-        .select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")  # at most sum(rows) rows
-        .collect()
-    )
-    picked.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train((Counter(words_of(r["text"])) for r in picked), [r["label"] for r in picked])
+    picked = one_text_each(docs, sample)
+    got: list[int] = []
+
+    def texts():
+        for r in picked.orderBy("doc_id").toLocalIterator():
+            got.append(r["label"])
+            yield words_of(r["text"])
+
+    return train(texts(), got)
 
 
 _LIMIT = 400_000
@@ -172,11 +231,11 @@ def score_text(text: str, model: Model) -> float:
             m = known[w] = model.word_margin(w)
         margins.append(m)
     n = len(words)
-    if n <= WINDOW:
+    if n <= WINDOW:  # its one window
         logit = sum(margins) / (SMOOTH + n)
     else:
         run = np.concatenate(([0.0], np.cumsum(margins, dtype=np.float64)))
-        start = np.arange(0, n - WINDOW // 2, WINDOW // 2)
+        start = np.array(window_starts(n))
         end = np.minimum(start + WINDOW, n)
         logit = ((run[end] - run[start]) / (SMOOTH + end - start)).max()
     return float(1 / (1 + np.exp(-np.clip(logit + model.bias, -30, 30))))
