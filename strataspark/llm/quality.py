@@ -17,12 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample, memo, trim
+from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, trim
 
 BITS = 18
-#: Rows learned from, at most, of each label; of these only texts of up to MAX_TRAIN_BYTES bytes.
+#: Rows learned from, at most, of each label.
 TRAIN_ROWS = {0: 2500, 1: 4000}
-MAX_TRAIN_BYTES = 20_000
 THRESHOLD = 0.7
 #: Fold (crc32 of the id modulo 4) that is never learned from.
 PARTS, HELD = 4, 2
@@ -38,7 +37,7 @@ def _shape(tok: str) -> str:
     if tok[0].isdigit():
         return "9"
     if not (tok[0].isalpha() or tok[0] == "_"):
-        return tok[:8]
+        return tok
     return "U" if len(tok) > 1 and tok.isupper() else "W" if tok[0].isupper() else "w"
 
 
@@ -71,11 +70,14 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) after FTRL-proximal updates over rows of (bucket, value, label).
-    Classes are weighted to equal mass. Without rows the weights are zero, and every score one half."""
+    Classes are weighted to equal mass. Without rows of both classes nothing is learned: all weights are zero, and
+    every score one half."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     count = np.bincount([y for *_, y in rows], minlength=2)
-    weight = len(rows) / (2 * np.maximum(count, 1))
+    if not count.all():
+        return np.zeros(size, np.float32)
+    weight = len(rows) / (2 * count)
     rng = np.random.default_rng(seed)
 
     def current(i):
@@ -99,8 +101,9 @@ def score_text(text: str, weights: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[int, int] = TRAIN_ROWS) -> np.ndarray:
-    """Train on a bounded sample of labelled docs(doc_id, text) outside the held-out fold. Features are made on
-    the executors; the driver gets at most sum(rows) sparse vectors."""
+    """Train on a bounded sample of labelled docs(doc_id, text) outside the held-out fold, one text for each id (the
+    least of several). Features are made on the executors; the driver gets at most sum(rows) sparse vectors, each of
+    2**BITS entries at most."""
     sample = labelled_sample(labels, label, PARTS, HELD, rows)
 
     def run(batches):
@@ -108,13 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[i
             got = [features(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "idx": [i.astype("<i4").tobytes() for i, _ in got], "val": [v.tobytes() for _, v in got]})
 
-    picked = (
-        docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES))
-        .select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")  # at most sum(rows) rows
-        .mapInPandas(run, "doc_id long, label int, idx binary, val binary")
-        .collect()
-    )
+    picked = one_text_each(docs, sample).select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, idx binary, val binary").collect()
     picked.sort(key=lambda r: (r["doc_id"], bytes(r["idx"])))
     return train_ftrl([(np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], np.float32), r["label"]) for r in picked])
 
