@@ -14,12 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold
+from strataspark.llm.common import fold, forget, written
 
 PROFILE = 300
-#: About so many rows of each language are learned from, at most; of these only texts of up to MAX_TRAIN_BYTES bytes.
+#: About so many rows of each language are learned from, at most.
 TRAIN_ROWS = 1000
-MAX_TRAIN_BYTES = 50_000
+#: The table of languages is broadcast up to so many rows; with more (a dirty column) it is joined by a shuffle.
+MANY_LANGS = 10_000
 #: Fold (crc32 of the id modulo 4) that is never learned from.
 PARTS, HELD = 4, 2
 
@@ -87,12 +88,14 @@ class Profiles:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
     """Learn a profile for each non-null lang of docs(doc_id, text, lang) outside the held-out fold, from a sample
     by a hash of doc_id of about `rows` texts a language. The driver gets the languages and their profiles."""
-    usable = docs.where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES) & (fold(F.col("doc_id"), PARTS) != HELD)
-    ).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), PARTS) != HELD)).select(
+        "doc_id", "text", F.col("lang").cast("string").alias("lang")
+    )
     share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
+    share = written(share, "languages")  # a row for each language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = usable.join(F.broadcast(share), "lang").where(place < F.col("share"))  # a row for each language
+    few = share.limit(MANY_LANGS + 1).count() <= MANY_LANGS
+    sample = usable.join(F.broadcast(share) if few else share, "lang").where(place < F.col("share"))
 
     def run(batches):
         for pdf in batches:
@@ -105,6 +108,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
     counts = sample.select("lang", "text").mapInPandas(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place_of = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # an alphabet's n-grams
     top = counts.withColumn("rank", place_of).where(F.col("rank") <= PROFILE).collect()
+    forget(share)
     by_lang: dict[str, list[int]] = {}
     for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
         by_lang.setdefault(r["lang"], []).append(r["code"])
