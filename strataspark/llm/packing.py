@@ -23,9 +23,6 @@ from strataspark.llm.common import memo, trim, written
 
 #: ids: little-endian uint32 token ids.
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: Pieces that one ranking block holds on average.
-BLOCK_ROWS = 2_000
-
 
 _RUN_END = re.compile(r"[.,](?<=[^\w\s].|_.)[ \n]")
 #: Marks that may end a chunk; after a letter they are one run of their own to the tokenizer.
@@ -231,11 +228,14 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     Ties (equal lengths) are ranked by (doc_id, piece, ids_crc32); rows equal in all are interchangeable."""
     spark = pieces.sparkSession
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, sum(sizes.values()) // BLOCK_ROWS)
+    # n pieces of a length are ranked in about sqrt(n) blocks of sqrt(n), so that neither a block nor their list is long
+    salts = F.ceil(F.sqrt("n_length")).cast("long")
+    lengths = spark.createDataFrame(sorted(sizes.items()), "s_length long, n_length long")  # `capacity` rows at most
     plan = spark.createDataFrame(
         best_fit_plan(sizes, capacity), "p_length long, lo long, hi long, first_bin long, each long, base long"
     )
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.join(F.broadcast(lengths), F.col("length") == F.col("s_length"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts)).drop("s_length", "n_length")
     before = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
