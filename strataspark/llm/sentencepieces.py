@@ -100,6 +100,8 @@ class Codec:
         # marks that no piece has after a letter or digit: a final one is encoded by itself
         after = {b for p in self.id_of for a, b in zip(p, p[1:], strict=False) if a.isalnum()}
         self.apart = {c for c in ",.!?;:|\n" if c not in after}
+        self.singles = {p for p in self.id_of if len(p) == 1}
+        self.worst = min(v.scores, default=0.0) - 10.0  # of a character without a piece
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.surface = [self._surface(i) for i in range(len(v.pieces))]
@@ -131,7 +133,7 @@ class Codec:
             a, b = self.v.pieces[left], self.v.pieces[right]
             got = self.pairs[key] = self.merges(a + b) == [a, b]
             if len(self.pairs) > 2_000_000:
-                self.pairs = {key: got}
+                self.pairs.clear()
         return got
 
     def stands(self, i: int) -> bool:
@@ -140,13 +142,42 @@ class Codec:
             got = self.whole[i] = self.merges(self.v.pieces[i]) == [self.v.pieces[i]]
         return got
 
+    def _merged(self, text: str) -> list[int]:
+        """viterbi() for a BPE model and a segment each of whose characters is a piece, so that every place is reached:
+        one piece may end there, the only one that stands behind the path so far, and the rest of the matches is skipped."""
+        n, score, pairs, follows = len(text), self.v.scores, self.pairs, self.follows
+        best: list[float | None] = [None] * (n + 1)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for at, (size, i) in self.auto.iter(text):
+            at += 1
+            if best[at] is not None:
+                continue
+            start = at - size
+            if start:
+                left = last[start]
+                ok = pairs.get(left << 32 | i)
+                if ok is None:
+                    ok = follows(left, i)
+            else:
+                ok = self.stands(i)
+            if ok:
+                best[at], last[at], back[at] = best[start] + score[i], i, start
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = back[at]
+        return out[::-1]
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of a segment (-1 - code point for a character without a piece), by one pass over the matches."""
+        if self.v.model_type == BPE and self.singles.issuperset(text):
+            return self._merged(text)
         n, score, bpe = len(text), self.v.scores, self.v.model_type == BPE
         best: list[float | None] = [None] * (n + 1)
         last, back = [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        worst = min(score, default=0.0) - 10.0 if not bpe else 0.0
+        worst = self.worst
         at, matches = 0, self.auto.iter(text)
         nxt = next(matches, None)
         for at in range(1, n + 1):
@@ -156,14 +187,12 @@ class Codec:
                 start = at - size
                 lone = lone and size > 1
                 if best[start] is not None:
-                    if not bpe:
-                        value = best[start] + score[i]
-                        if best[at] is None or value > best[at]:
+                    value = best[start] + score[i]
+                    if best[at] is None:  # in a BPE model one piece at most may end here, so the first to stand is best
+                        if not bpe or (self.stands(i) if start == 0 else last[start] < 0 or self.follows(last[start], i)):
                             best[at], last[at], back[at] = value, i, start
-                    elif best[at] is None and (
-                        self.stands(i) if start == 0 else last[start] < 0 or self.follows(last[start], i)
-                    ):
-                        best[at], last[at], back[at] = 0.0, i, start
+                    elif not bpe and value > best[at]:
+                        best[at], last[at], back[at] = value, i, start
                 nxt = next(matches, None)
             if lone and best[at - 1] is not None:
                 value = best[at - 1] + worst
