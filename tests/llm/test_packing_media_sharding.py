@@ -86,7 +86,8 @@ def test_media_round_trip(n):
     assert media.samples(blob, track) == payload
     assert (track.codec, track.width, track.height, track.timescale) == ("raw ", 24, 24, 25)
     assert track.duration == len(track.sizes) == len(payload) // 576
-    assert track.keys.tolist() == list(range(0, track.duration, media.KEY_EVERY))
+    assert track.keys.tolist() == list(range(track.duration))
+    assert [media.pad(payload)[k : k + media.FRAME] for k in range(0, len(media.pad(payload)), media.FRAME)] == [blob[a:b] for a, b in media.key_ranges(track)]
 
 
 def test_probe_of_foreign_layouts():
