@@ -6,11 +6,12 @@
    linked vectors lie apart, see `shards_of`. A shard over BLOCK members is dealt out in blocks.
 3. Each block gets a graph: nearest neighbours, robust-pruned. Adjacency lists of all blocks that hold a vector are
    united.
-4. In every shard each vector is a query: a greedy beam search from the block's medoids, then range expansion around
-   whatever lies within the threshold. Finds are verified by cosine in double precision. A pair that shares several
+4. In every shard each vector is a query: a greedy beam search from the block's medoids and from what the united lists
+   say of the query itself, then range expansion around whatever lies within the threshold. Finds are verified by cosine in double precision. A pair that shares several
    shards counts in the least of them, so a shard returns a row for each member (links, root), never the pairs.
 5. The recall is audited by brute force, query by query, for groups of each size apart; below the target in any of
-   them the join runs again with wider borders and a wider beam, and after the last setting it is an error.
+   them the join runs again with wider borders and a wider beam. If the last setting still misses it, all pairs of a
+   label are compared, block by block.
 """
 
 from __future__ import annotations
@@ -120,14 +121,17 @@ def with_reverse(near: np.ndarray) -> np.ndarray:
     return np.hstack([near, back])
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs with cosine >= least. All queries walk together: in each step every query expands its best
-    open row of the beam; a row within the range (less a little slack) is always expanded."""
+def beam_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int, least: float, own: tuple = ((), ())) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs with cosine >= least. All queries start at the entries, and each at its own (query, row)
+    pairs, and walk together: in each step every query expands its best open row of the beam; a row within the range
+    (less a little slack) is always expanded."""
     n, m = len(x), len(q)
     sim = np.full((m, n), -np.inf, np.float32)  # of the rows that a query has met
     opened = np.zeros((m, n), bool)
     xf, qf = x.astype(np.float32), q.astype(np.float32)
     sim[:, entries] = qf @ xf[entries].T
+    qs, rows = (np.asarray(a, np.int64) for a in own)
+    sim[qs, rows] = np.einsum("ij,ij->i", qf[qs], xf[rows])
     beam = min(beam, n)
     live = np.arange(m)
     while len(live):
@@ -164,15 +168,20 @@ def _graphs(batches):
 
 
 def _searches(beam: int, least: float):
-    def half(q, qid, x, xid, adjacency, same):
+    def half(q, qid, q_near, x, xid, adjacency):
         """Index pairs of queries q in the graph over x."""
         order = np.argsort(xid)
+
+        def places(ids):
+            at = order[np.minimum(np.searchsorted(xid, ids, sorter=order), len(xid) - 1)]
+            return at[xid[at] == ids]
+
         links = np.full((len(xid), max((len(a) for a in adjacency), default=0) + 1), -1)
         for k, a in enumerate(adjacency):
-            at = np.minimum(np.searchsorted(xid, a, sorter=order), len(xid) - 1)
-            at = order[at]
-            at = at[xid[at] == a]
+            at = places(a)
             links[k, : len(at)] = at
+        known = [places(np.append(a, i)) for a, i in zip(q_near, qid, strict=True)]
+        own = np.repeat(np.arange(len(qid)), [len(k) for k in known]), np.concatenate(known)
         entries = np.unique(np.argmax(x @ kmeans(x, MEDOIDS).T, axis=0))
         # rows that no list reaches become entries too, so that every row can be met
         reached = np.zeros(len(xid), bool)
@@ -187,7 +196,7 @@ def _searches(beam: int, least: float):
                     break
                 todo = rest[:1]
                 entries = np.append(entries, todo)
-        return beam_search(x, links, entries, q, beam, least)
+        return beam_search(x, links, entries, q, beam, least, own)
 
     def run(batches):
         for whole in by_run(batches, ["label", "shard", "a", "b"]):
@@ -201,8 +210,8 @@ def _searches(beam: int, least: float):
                 pairs = set()
                 for a, b in [(left, right)] if one else [(left, right), (right, left)]:
                     if len(a) and len(b):
-                        near = pdf["near"].iloc[b].tolist()
-                        i, j = half(x[a], ids[a], x[b], ids[b], near, one)
+                        near = pdf["near"]
+                        i, j = half(x[a], ids[a], near.iloc[a].tolist(), x[b], ids[b], near.iloc[b].tolist())
                         i, j = a[i], b[j]
                         ok = i != j
                         pairs.update(zip(np.minimum(i, j)[ok].tolist(), np.maximum(i, j)[ok].tolist(), strict=True))
@@ -210,18 +219,45 @@ def _searches(beam: int, least: float):
                 pairs = [(i, j) for i, j in sorted(pairs) if shard == min(set(sets[i]) & set(sets[j]))]
                 if not pairs:
                     continue
-                i, j = np.array(pairs).T
-                links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-                order = np.argsort(ids, kind="stable")
-                place = np.empty(len(ids), np.int64)
-                place[order] = np.arange(len(ids))
-                root = ids[order][roots_of(len(ids), place[i], place[j])[place]]
-                some = links > 0
-                yield pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
+                yield _member_rows(ids, n, *np.array(pairs).T)
 
     return run
 
 
+def _member_rows(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """(rep, links, root) of the members that index pairs (i, j), each given once, link."""
+    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    root = ids[order][roots_of(len(ids), place[i], place[j])[place]]
+    some = links > 0
+    return pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
+
+
+def all_links(reps: DataFrame, least: float) -> DataFrame:
+    """(rep, links, root) from all pairs of a label: the exact way, quadratic in the label, in tasks of two blocks."""
+    sizes = reps.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+
+    def run(batches):
+        for whole in by_run(batches, ["label", "a", "b"]):
+            for _, pdf in whole.groupby(whole["unit"].map(len), sort=True):
+                ids, n, x, part = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), _stack(pdf), pdf["part"].to_numpy()
+                near = x @ x.T >= least
+                one = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+                i, j = np.nonzero(np.triu(near, 1) if one else near & ((part == 0)[:, None] & (part == 1)[None, :]))
+                if len(i):
+                    yield _member_rows(ids, n, i, j)
+
+    return (
+        block_pairs(reps.select("label", "rep", "copies", "unit").join(sizes, "label"), "blocks", "rep")
+        .select("label", "a", "b", "part", "rep", "copies", "unit")
+        .repartition("label", "a", "b")
+        .sortWithinPartitions("label", "a", "b", "rep")
+        .mapInPandas(run, "rep long, links long, root long")
+    )
+
+
 def _centroids(reps: DataFrame) -> dict[str, np.ndarray]:
     """Centroids of the labels that have more than BLOCK representatives; MAX_CENTROIDS in all."""
     big = reps.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "label").limit(MAX_CENTROIDS // 2).collect()
@@ -264,7 +300,15 @@ def shards_of(v: np.ndarray, c: np.ndarray, least: float, spread: float) -> list
     return np.flatnonzero(near[best] - near <= reach * apart + 1e-9).tolist()
 
 
-def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spread: float, beam: int) -> DataFrame:
+def _found(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spread: float, beam: int) -> DataFrame:
+    """(rep, links, root) that the search finds, written."""
+    members, links = _links(reps, centroids, least, spread, beam)
+    found = written(links, "links")
+    forget(members)
+    return found
+
+
+def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spread: float, beam: int) -> tuple[DataFrame, DataFrame]:
     shared = reps.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches):
@@ -290,7 +334,7 @@ def _links(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spre
         .mapInPandas(_graphs, "rep long, near array<long>")
     )
     near = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list of 2 * DEGREE at most for each shard
-    return (
+    return members, (
         block_pairs(members.join(near, "rep"), "blocks", "rep")
         .select("label", "shard", "a", "b", "part", "rep", "copies", "unit", "shards", "near")
         .repartition("label", "shard", "a", "b")
@@ -353,7 +397,13 @@ def audit(reps: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = TARGET_RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding, label).
+    """`near_duplicates_audited` without the recall."""
+    return near_duplicates_audited(vectors, least, target)[0]
+
+
+def near_duplicates_audited(vectors: DataFrame, least: float = 0.98, target: float = TARGET_RECALL) -> tuple[DataFrame, list[dict[int, float]]]:
+    """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding, label), and the recall of each
+    try by the number of digits of true links (see `audit`); the last is that of the result.
 
     n_links: other vectors of the same label with cosine >= least. component_id: the smallest vec_id that links
     reach. Rows that share a vec_id are one vector (each row is returned; the least direction key counts). Rows
@@ -363,23 +413,29 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = TAR
     # both ids of a class come from here, so a row finds its representative without the vector
     classes = one.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     reps = written(classes, "vectors")
-    centroids = _centroids(reps)
-    for spread, beam in SETTINGS:
-        found = written(_links(reps, centroids, least, spread, beam), "links")
-        recall = audit(reps, found, least)
-        if min(recall.values(), default=1.0) >= target:
+    centroids, recall = _centroids(reps), []
+    for spread, beam in [*SETTINGS, (None, None)]:
+        if spread is None:
+            found = written(all_links(reps, least), "links")
+        else:
+            found = _found(reps, centroids, least, spread, beam)
+        recall.append(audit(reps, found, least))
+        if spread is None or min(recall[-1].values(), default=1.0) >= target:
             break
         forget(found)
-    else:
-        raise ValueError(f"near_duplicates: recall by digits of true links {recall}, wanted {target} in each")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    result = reps.join(links, "rep", "left").join(linked, "rep", "left").select(
+    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    component = linked.select(F.col("node").alias("rep"), "component")
+    result = reps.join(links, "rep", "left").join(component, "rep", "left").select(
         F.col("label").alias("l"), F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
+    result = written(result, "result")
+    for done in (found, linked, reps):
+        forget(done)
     per_id = one.select("vec_id", "label", "key").join(result, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k"))).select(F.col("vec_id").alias("v"), "component", "links")
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(per_id, F.col("vec_id") == F.col("v"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select(
+    out = out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
     )
+    return out, recall
