@@ -67,6 +67,40 @@ def test_prefix_shortens_until_the_target():
     assert jj.prefix_for(0.8, 16, 6, 0.995) == 5
     assert jj.prefix_for(0.95, 16, 6, 0.9) == 6
     assert jj.prefix_for(0.1, 2, 6, 0.999) == 1
+    # many pairs of equal texts are all met at once; pairs at the threshold are not
+    assert jj.forest_recall(10_000, 10_000, 0.8, 6) > 0.9995
+    assert jj.forest_recall(10_000, 10_000 / jj.meets(0.8, 6), 0.8, 6) < 0.995
+    assert jj.forest_recall(0, 0, 0.8, 5) == pytest.approx(jj.meets(0.8, 5))
+
+
+def edges_at(seed, n):
+    """n pairs of gram sets with a similarity of 0.80 to 0.85, as representatives 2k and 2k + 1."""
+    rng = np.random.default_rng(seed)
+    for k in range(n):
+        both = rng.integers(100, 400)
+        own = int(both * rng.uniform(0.176, 0.25))
+        all_ = rng.integers(0, 1 << 63, both + own, dtype=np.uint64)
+        cut = both + own // 2
+        for rep, s in ((2 * k, all_[:cut]), (2 * k + 1, np.concatenate([all_[:both], all_[cut:]]))):
+            yield rep, (jj.signature(s) >> np.uint64(48)).astype(">u2").tobytes()
+
+
+def test_forest_meets_pairs_at_the_threshold(spark):
+    reps = spark.createDataFrame(list(edges_at(2, 2000)), "rep long, labels binary")
+    met = {(r["b"], r["a"]) for r in jj.forest_edges(reps, 0.8, 0.9995).where("a is not null").collect()}
+    assert sum((2 * k, 2 * k + 1) in met for k in range(2000)) >= 1996
+
+
+def test_keep_one_goes_by_rows(spark):
+    """One id with two texts, repeated rows, copies under other ids."""
+    t, other = "one two three four five six seven", "another text that says something else entirely"
+    rows = [(1, t, "a"), (1, t, "a"), (2, t, "b"), (3, other, "c"), (3, t, "d"), (4, t.upper(), "e"), (5, None, "f"), (5, None, "f"), (None, t, "g"), (6, other + " too", "h"), (7, other, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    out = jj.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["a.b"]) for r in out.collect())
+    assert got == [(0, "g"), (1, "a"), (3, "c"), (5, "f"), (5, "f"), (6, "h")]
+    assert jj.keep_one(docs.limit(0)).count() == 0
 
 
 def test_signature_estimates_similarity():
@@ -96,11 +130,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neardup.near_duplicates(df, 0.98).collect()}
     want = brute({k: (np.array(v) / np.linalg.norm(v), label) for k, v, label in rows}, lambda a, b: a[1] == b[1] and a[0] @ b[0] >= 0.98)
-    if block == 500:
-        assert got == want
-    else:
-        assert sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want.values())
-        assert all(n <= want[k][1] for k, (_, n) in got.items())
+    assert got == want
 
 
 def test_near_duplicates_odd_rows(spark):
@@ -157,8 +187,13 @@ def test_linked_vectors_share_a_shard():
         assert all(set(neardup.shards_of(a, c, 0.98, spread)) & set(neardup.shards_of(b, c, 0.98, spread)) for a, b in zip(x, y, strict=True))
 
 
-def test_missed_recall_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "audit", lambda *_: {1: 0.5, 3: 1.0})
-    df = spark.createDataFrame(vectors(3, 40), "vec_id long, embedding array<double>, label int")
-    with pytest.raises(ValueError, match="recall"):
-        neardup.near_duplicates(df, 0.98)
+def test_missed_recall_ends_in_brute_force(spark, monkeypatch):
+    """A search that finds nothing is replaced, after the last setting, by all pairs of a label in blocks."""
+    monkeypatch.setattr(neardup, "beam_search", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    rows = vectors(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out, recall = neardup.near_duplicates_audited(df, 0.98)
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in out.collect()}
+    assert min(recall[-2].values()) < 0.5 and min(recall[-1].values()) == 1.0 and len(recall) == len(neardup.SETTINGS) + 1
+    assert got == brute({k: (np.array(v) / np.linalg.norm(v), label) for k, v, label in rows}, lambda a, b: a[1] == b[1] and a[0] @ b[0] >= 0.98)
