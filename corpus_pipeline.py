@@ -7,37 +7,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.llm import jaccard_join, packing, quality, secrets, toxicity
-from strataspark.llm.common import forget, fresh, may_hold, table, written
+from strataspark.llm.common import forget, fresh, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the classifier's threshold; null and empty texts score by the bias."""
+    """Documents whose quality score reaches the classifier's threshold; null and empty texts score by the bias. If
+    there are no labelled texts of both kinds to learn from, all stay."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not weights.any():
+        return docs
     name = fresh(docs, "score")
     scored = docs.withColumn(name, quality.quality_score(F.col("text"), weights, spark))
     return scored.where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not flag."""
+    """Documents that the toxicity classifier does not flag. If there are no labelled texts of both kinds to learn from,
+    all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     name = fresh(docs, "score")
     scored = docs.withColumn(name, toxicity.toxicity_score(F.col("text"), model, spark))
     return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group that links of Jaccard similarity >= 0.8 hold together."""
-    gone = written(jaccard_join.jaccard_classes(docs, 0.8).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    name = fresh(docs, "maybe_gone")
-    flagged = may_hold(docs, "doc_id", gone, "doc_id", name)
-    checked = flagged.where(F.col(name)).join(gone, "doc_id", "left_anti")
-    return flagged.where(~F.col(name)).select(*docs.columns).unionAll(checked.select(*docs.columns))
+    """One document, the one with the smallest doc_id, of each group that links of Jaccard similarity >= 0.8 hold
+    together, and one row of a repeated document; see jaccard_join.keep_one."""
+    return jaccard_join.keep_one(docs, 0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts masked."""
-    return secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)))
+    """All documents, with secrets in their texts masked; a document's source counts as its path."""
+    return secrets.redact(docs, secrets.fit(secrets.labelled_findings(spark)), path="source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +71,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The output with token ids given as their digest only, taken from the ids as placed."""
+    """STAGES applied to documents: one row for each placed piece (doc_id, piece, start, length, ids_crc32,
+    sequence_id, offset), token ids given as their digest only, taken from the ids as placed. Each stage's table goes
+    when the next is written; an empty table gives no rows."""
     return packed(spark, sf_dir).drop("ids")
