@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm import jaccard_join, langid, media, neardup, packing, quality, secrets, sentencepieces, sharding, toxicity
 from strataspark.llm.common import table
+from strataspark.llm.oracles import ORACLE
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ def llm_queries() -> dict:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
