@@ -20,6 +20,13 @@ NON_BREAKING = (
     "optional_request_body_added request_body_became_optional media_type_added optional_property_added response_status_added "
     "channel_added operation_added message_added"
 ).split()
+UNDECIDED = (
+    "response_schema_changed incomparable_subtree payload_property_removed payload_property_added payload_requiredness_gained "
+    "payload_requiredness_lost payload_type_narrowed payload_type_widened payload_enum_value_removed payload_enum_value_added "
+    "payload_additional_properties_disallowed payload_additional_properties_allowed payload_incomparable message_payload_added "
+    "message_payload_removed pact_undeclared_request_parameter pact_undeclared_request_body pact_undeclared_body_property "
+    "pact_matching_rules_unmodelled pact_ambiguous_provider_match pact_message_interaction_not_cross_referenced"
+).split()
 
 
 def severity(kind):

@@ -60,9 +60,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, dire
         frontier = written(met.withColumn("hops", F.lit(depth)), "reach")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
-        if len(parts) > 4:  # few tables to subtract, however deep the walk
-            parts = [written(_union(parts), "reach")]
+        parts = merged([*parts, frontier], "reach")
+    forget(steps)
     return _union(parts)
 
 
@@ -73,24 +72,39 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "forward") -> DataFrame:
-    """(id, hops, path) with the shortest path from a seed, the least in order among equals; path is an array of ids."""
+def merged(parts: list[DataFrame], tag: str, most: int = 4) -> list[DataFrame]:
+    """parts, all but the last written as one table once there are more than `most`, so few tables are subtracted however
+    deep the walk. The last is the frontier, which the next step reads."""
+    if len(parts) <= most:
+        return parts
+    one = written(_union(parts[:-1]), tag)
+    for p in parts[:-1]:
+        forget(p)
+    return [one, parts[-1]]
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "forward", expandable: Column | None = None) -> DataFrame:
+    """(id, hops, path) with the shortest path from a seed, the least in order among equals; path is an array of ids.
+    `expandable` is a predicate on id that a node other than a seed must meet to be left again."""
     steps = written(oriented(edges, direction).select("src", "dst").where("src <> dst").distinct(), "steps")
     frontier = written(seeds.select("id", F.lit(0).alias("hops"), F.array("id").alias("path")).distinct(), "paths")
-    done = frontier
+    parts = [frontier]
     for depth in range(1, max_depth + 1):
+        leave = frontier if depth == 1 or expandable is None else frontier.where(expandable)
         met = (
-            frontier.join(steps, F.col("id") == F.col("src"))
+            leave.join(steps, F.col("id") == F.col("src"))
             .groupBy("dst")
             .agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
             .select(F.col("dst").alias("id"), F.lit(depth).alias("hops"), "path")
-            .join(done.select("id"), "id", "left_anti")
         )
+        for seen in parts:
+            met = met.join(seen.select("id"), "id", "left_anti")
         frontier = written(met, "paths")
         if frontier.isEmpty():
             break
-        done = written(done.unionByName(frontier), "paths")
-    return done
+        parts = merged([*parts, frontier], "paths")
+    forget(steps)
+    return _union(parts)
 
 
 def widest_grades(edges: DataFrame, reached: DataFrame, seeds: DataFrame, direction: str = "forward", top: int = 1_000_000) -> DataFrame:

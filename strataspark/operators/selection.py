@@ -11,14 +11,32 @@ from strataspark.operators.graph import reach
 
 def lcov_hits(lines: DataFrame) -> DataFrame:
     """(suite_id, path, line, hits) from raw lines(suite_id, line_no, text): the last SF record before a DA record
-    names its file. Repeated lines of a file add up."""
-    w = Window.partitionBy("suite_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    sf = F.when(F.col("text").startswith("SF:"), F.substring("text", 4, 4096))
-    seen = lines.withColumn("path", F.last(sf, True).over(w)).where(F.col("text").startswith("DA:"))
-    parts = F.split(F.substring("text", 4, 100), ",")
+    names its file. Repeated lines of a file add up; records that `lcov_errors` names do not count.
+
+    A suite is read in blocks of LCOV_BLOCK line numbers: the last file of each block is carried to the next, so a long
+    record is not one task's."""
+    whole = lines.withColumn("block", F.floor(F.col("line_no") / LCOV_BLOCK))
+    sf = F.when(F.col("text").startswith("SF:"), F.expr("substring(text, 4)"))
+    ends = whole.withColumn("sf", sf).where("sf is not null").groupBy("suite_id", "block").agg(F.max_by("sf", "line_no").alias("last"))
+    blocks = whole.select("suite_id", "block").distinct().join(ends, ["suite_id", "block"], "left")
+    before = Window.partitionBy("suite_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("suite_id", "block", F.last("last", True).over(before).alias("carried"))
+    w = Window.partitionBy("suite_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    local = whole.withColumn("local", F.last(sf, True).over(w)).where(F.col("text").rlike(LCOV_RECORD))
+    seen = local.join(carried, ["suite_id", "block"]).withColumn("path", F.coalesce("local", "carried")).where("path is not null")
+    parts = F.split(F.expr("substring(text, 4)"), ",")
     return seen.groupBy("suite_id", "path", parts[0].cast("int").alias("line")).agg(F.sum(parts[1].cast("bigint")).alias("hits"))
 
 
+#: Line numbers of a block, and what a line record is.
+LCOV_BLOCK, LCOV_RECORD = 100_000, r"^DA:[0-9]{1,9},[0-9]{1,18}(,.*)?$"
+
+
+def lcov_errors(lines: DataFrame) -> DataFrame:
+    """(suite_id, line_no, text) of raw lines that begin a line record and are none."""
+    return lines.where(F.col("text").startswith("DA:") & ~F.col("text").rlike(LCOV_RECORD)).select("suite_id", "line_no", "text")
+
+
 def affected_sources(calls: DataFrame, changed: DataFrame) -> DataFrame:
     """(id): changed(id) and everything that reaches it."""
     return reach(calls, changed, None, "backward").select("id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.storage import forget, written
 from strataspark.functions.text import tokens
 
-
-MAX_POINTS = 1000
+#: Points of an as-of join that are broadcast, and slots of the timeline beyond that.
+MAX_POINTS, SLOTS = 1000, 64
 
 
 def fact_intervals(observations: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -21,29 +22,41 @@ def fact_intervals(observations: DataFrame, timeline: DataFrame) -> DataFrame:
     spans = run.groupBy(*key, "island").agg(F.min("idx").alias("opened_idx"), F.max("idx").alias("last_idx"))
     last = timeline.agg(F.max("idx").alias("end"))
     out = spans.crossJoin(F.broadcast(last)).withColumn("closed_idx", F.when(F.col("last_idx") < F.col("end"), F.col("last_idx") + 1))
-    fact_id = F.sha2(F.concat_ws("|", *key, F.col("opened_idx").cast("string")), 256)
+    fact_id = F.sha2(F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\0")) for c in (*key, "opened_idx")]), 256)
     return out.select(fact_id.alias("fact_id"), *key, "opened_idx", "closed_idx")
 
 
 def active_at(facts: DataFrame, points: DataFrame) -> DataFrame:
-    """(at, fact) for each point(at): facts with opened_idx <= at and (open or closed_idx > at). At most MAX_POINTS points;
-    more are an error."""
-    if points.count() > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} points")
+    """(at, fact) for each point(at): facts with opened_idx <= at and (open or closed_idx > at). Up to MAX_POINTS points
+    are broadcast; with more, points and facts meet in the SLOTS that the timeline is cut into."""
     holds = (F.col("opened_idx") <= F.col("at")) & (F.col("closed_idx").isNull() | (F.col("closed_idx") > F.col("at")))
-    return facts.join(F.broadcast(points), holds)
+    if points.limit(MAX_POINTS + 1).count() <= MAX_POINTS:
+        return facts.join(F.broadcast(points), holds)
+    low, high = points.agg(F.min("at"), F.max("at")).first()
+    width = max(1, -(-(high - low + 1) // SLOTS))
+
+    def slot(at: Column) -> Column:
+        return F.floor((F.greatest(at, F.lit(low)) - F.lit(low)) / F.lit(width))
+
+    last = F.least(F.coalesce(F.col("closed_idx"), F.lit(high + 1)), F.lit(high + 1))
+    near = facts.where((F.col("opened_idx") <= high) & (last > low))
+    near = near.withColumn("__slot", F.explode(F.sequence(slot(F.col("opened_idx")), slot(last))))
+    return near.join(points.withColumn("__slot", slot(F.col("at"))), "__slot").where(holds).drop("__slot")
 
 
 def journal_stats(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("total"), F.count_if(F.col("closed_idx").isNull()).alias("active"), F.count_if(F.col("closed_idx").isNotNull()).alias("retired"))
 
 
-def digest_by(rows: DataFrame, group: str, line: str, buckets: int = 64) -> DataFrame:
-    """(group, n, digest): sha256 over the sorted distinct lines of each group, by way of per-bucket digests, so one
-    large group is not one task's string: lines are dealt by the head of their own digest, which keeps their order."""
-    d = rows.select(group, F.sha2(line, 256).alias("h")).distinct().withColumn("bucket", F.substring("h", 1, 2))
-    part = d.groupBy(group, "bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("part"))
-    return part.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), ""), 256).alias("digest"))
+def digest_by(rows: DataFrame, group: str, line: str) -> DataFrame:
+    """(group, n, digest): sha256 over the sorted distinct lines of each group, by way of digests of buckets, so one
+    large group is not one task's string: lines are dealt by the heads of their own digests, six, four and two digits
+    of them in turn, which keeps their order. Of n lines a task joins about n / 16**6 at most."""
+    part = rows.select(group, F.sha2(line, 256).alias("part")).distinct().select(group, "part", F.col("part").alias("bucket"), F.lit(1).cast("bigint").alias("n"))
+    for digits in (6, 4, 2, 0):
+        pairs = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
+        part = part.withColumn("to", F.substring("bucket", 1, digits)).groupBy(group, "to").agg(F.sum("n").alias("n"), F.sha2(F.array_join(pairs, ""), 256).alias("part")).withColumnRenamed("to", "bucket")
+    return part.select(group, "n", F.col("part").alias("digest"))
 
 
 def lineage_exact(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -70,7 +83,7 @@ def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = 0.85)
     def side(df, name):
         return df.select(F.col("path").alias(f"{name}_path"), tokens(F.col("text")).alias(f"{name}_tokens")).where(F.size(f"{name}_tokens") > 0)
 
-    b, a = side(before, "from"), side(after, "to")
+    b, a = written(side(before, "from"), "tokens"), written(side(after, "to"), "tokens")  # read three times each
     words = b.select(F.explode("from_tokens").alias("t")).unionAll(a.select(F.explode("to_tokens").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
 
     def prefix(df, name):
@@ -92,3 +105,46 @@ def best_match(pairs: DataFrame, margin: float = 0.05) -> DataFrame:
     w = Window.partitionBy("from_path").orderBy(F.desc("similarity"), "to_path")
     ranked = s.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("similarity").over(w))
     return ranked.where("k = 1").select("from_path", "to_path", "similarity", F.coalesce(F.col("similarity") - F.col("next") < margin, F.lit(False)).alias("ambiguous"))
+
+
+def lineage_leftovers(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, content_hash, ...) of both sides that `lineage_exact` did not use up; files that exist on both sides
+    are among them."""
+    used = written(lineage_exact(before, after), "exact")
+    gone = used.where("from_path is not null").select(F.col("from_path").alias("path"))
+    new = used.where("to_path is not null").select(F.col("to_path").alias("path"))
+    return before.join(gone, "path", "left_anti"), after.join(new, "path", "left_anti")
+
+
+def consume_matches(pairs: DataFrame, margin: float = 0.05) -> DataFrame:
+    """(from_path, to_path, similarity, ambiguous): sources in the order of paths each take their most similar target
+    (ties: the least path) that no earlier source took. `ambiguous`: the next best one left was within the margin.
+
+    Every source proposes to its best target left, and a target keeps the least source that proposed; refused pairs are
+    struck out until nobody is refused. That ends in what taking turns gives, in far fewer rounds than sources."""
+    left = written(pairs.select("from_path", "to_path", (F.col("common") / F.col("union")).alias("similarity")), "proposals")
+    w = Window.partitionBy("from_path").orderBy(F.desc("similarity"), "to_path")
+    while True:
+        best = left.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("similarity").over(w)).where("k = 1")
+        asked = written(best.withColumn("first", F.min("from_path").over(Window.partitionBy("to_path"))), "proposals")
+        refused = asked.where("from_path <> first").select("from_path", "to_path")
+        if refused.isEmpty():
+            break
+        rest = written(left.join(refused, ["from_path", "to_path"], "left_anti"), "proposals")
+        forget(left)
+        forget(asked)
+        left = rest
+    return asked.select("from_path", "to_path", "similarity", F.coalesce(F.col("similarity") - F.col("next") < margin, F.lit(False)).alias("ambiguous"))
+
+
+def lineage_moves(before: DataFrame, after: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(from_path, to_path, similarity, ambiguous) between the leftovers of files(path, content_hash, text); partial
+    evidence, whatever the similarity."""
+    b, a = lineage_leftovers(before, after)
+    return consume_matches(similar_pairs(b.select("path", "text"), a.select("path", "text"), threshold))
+
+
+def lineage_summary(moves: DataFrame) -> DataFrame:
+    """(kind, n, identity_preserved, partial) of lineage rows (kind, from_path, to_path, coverage)."""
+    kept = F.col("from_path").isNotNull() & F.col("to_path").isNotNull()
+    return moves.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(kept).alias("identity_preserved"), F.count_if(F.col("coverage") != "verified").alias("partial"))

@@ -21,7 +21,7 @@ def first_parent_walk(spark, sf_dir):
 
 
 def topological_levels(spark, sf_dir):
-    return history.topological_levels(_commits(spark, sf_dir).where("oid % 50 between 1 and 12"))
+    return history.topological_levels(_commits(spark, sf_dir))
 
 
 def commit_decorations(spark, sf_dir):
@@ -31,11 +31,14 @@ def commit_decorations(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
-    base = li.groupBy(F.col("l_suppkey").cast("string").alias("subject"), (F.col("l_partkey") % 25).cast("string").alias("pointer")).agg(F.min("l_orderkey").alias("k"))
+    """Parts of suppliers as payload facts of two revisions, two levels deep; some without a type, some unsure."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("subject"), F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 5).cast("string").alias("p"), (F.col("l_partkey") % 25).cast("string").alias("c"))
+    outer = li.groupBy("subject", F.concat(F.lit("/"), "p").alias("pointer")).agg(F.min("k").alias("k"))
+    base = outer.unionAll(li.groupBy("subject", F.concat_ws("/", F.lit(""), "p", "c").alias("pointer")).agg(F.min("k").alias("k")))
 
     def side(keep, t, r):
-        types = F.when(F.col("k") % t == 0, F.array(F.lit("integer"), F.lit("null"))).otherwise(F.array(F.lit("integer")))
+        one, two = F.array(F.lit("integer")), F.array(F.lit("integer"), F.lit("null"))
+        types = F.when(F.col("k") % (t + 7) == 0, F.array().cast("array<string>")).when(F.col("k") % t == 0, two).otherwise(one)
         enums = F.when(F.col("k") % (t + 2) == 0, F.array(F.lit('"a"'), F.lit('"b"')))
         return base.where(f"k % {keep} <> 0").select("subject", "pointer", types.alias("types"), enums.alias("enums"), (F.col("k") % r == 0).alias("required"), (F.col("k") % (r + 3) == 0).alias("closed"), F.when(F.col("k") % 29 == 0, "partial").otherwise("verified").alias("coverage"))
 
@@ -44,7 +47,10 @@ def _facts(spark, sf_dir):
 
 def payload_changes(spark, sf_dir):
     before, after = _facts(spark, sf_dir)
-    return contracts.payload_changes(before, after, True).groupBy("kind", "severity").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
+    out = contracts.payload_changes(before, after, "accepted")
+    for way in ("emitted", "both"):
+        out = out.withColumn(way, contracts.payload_severity(F.col("kind"), way))
+    return out.groupBy("kind", F.col("severity").alias("accepted"), "emitted", "both").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
 
 
 def parameter_changes(spark, sf_dir):
@@ -87,14 +93,21 @@ def analytics_report(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (first_parent_walk, topological_levels, commit_decorations, payload_changes, parameter_changes, pact_outcomes, trace_ids, analytics_report)}
 
 _COMMITS = """c as (select s_suppkey::bigint as oid, case when s_suppkey % 50 <> 1 then s_suppkey::bigint - 1 end as p1, case when s_suppkey % 9 = 0 and s_suppkey % 50 > 8 then s_suppkey::bigint - 7 end as p2 from supplier)"""
-_PAY = """with base as (select l_suppkey::varchar as subject, (l_partkey % 25)::varchar as pointer, min(l_orderkey) as k from lineitem where l_orderkey % 2 = 0 group by 1, 2),
-j as (select subject, k, k % 17 <> 0 as b, k % 19 <> 0 as a, k % 29 <> 0 as sure, k % 4 = 0 as bt, k % 6 = 0 as at_, k % 6 = 0 as be, k % 8 = 0 as ae, k % 3 = 0 as br, k % 5 = 0 as ar, k % 6 = 0 as bc, k % 8 = 0 as ac from base),
-f as (select subject, unnest(list_filter([
-  case when a and b and not sure then 'payload_incomparable' end, case when a and b and sure and bt and not at_ then 'payload_type_narrowed' end, case when a and b and sure and at_ and not bt then 'payload_type_widened' end,
-  case when a and b and sure and ae and not be then 'payload_enum_value_removed' end, case when a and b and sure and be and not ae then 'payload_enum_value_added' end,
-  case when (a and b and sure and ar and not br) or (a and not b and ar) then 'payload_requiredness_gained' end, case when a and b and sure and br and not ar then 'payload_requiredness_lost' end,
-  case when b and not a then 'payload_property_removed' end, case when a and not b and not ar then 'payload_property_added' end,
-  case when a and b and sure and ac and not bc then 'payload_additional_properties_disallowed' end, case when a and b and sure and bc and not ac then 'payload_additional_properties_allowed' end], lambda x: x is not null)) as kind from j)"""
+_PAY = """with li as (select l_suppkey::varchar as subject, l_orderkey as k, (l_partkey % 5)::varchar as p, (l_partkey % 25)::varchar as c from lineitem),
+base as (select subject, '/' || p as pointer, min(k) as k from li group by 1, 2 union all select subject, '/' || p || '/' || c, min(k) from li group by 1, 2),
+b as (select subject, pointer, case when k % 11 = 0 then ['array', 'boolean', 'integer', 'null', 'number', 'object', 'string'] when k % 4 = 0 then ['integer', 'null'] else ['integer'] end as t, k % 6 = 0 as e, k % 3 = 0 as r, k % 6 = 0 as c, k % 29 <> 0 as sure from base where k % 17 <> 0),
+a as (select subject, pointer, case when k % 13 = 0 then ['array', 'boolean', 'integer', 'null', 'number', 'object', 'string'] when k % 6 = 0 then ['integer', 'null'] else ['integer'] end as t, k % 8 = 0 as e, k % 5 = 0 as r, k % 8 = 0 as c, k % 29 <> 0 as sure from base where k % 19 <> 0),
+j as (select coalesce(b.subject, a.subject) as subject, coalesce(b.pointer, a.pointer) as pointer, b.subject is not null and a.subject is not null as two, two and b.sure and a.sure as ok, b.subject is null as new, a.subject is null as gone,
+  b.t as bt, a.t as at_, b.e as be, a.e as ae, b.r as br, a.r as ar, b.c as bc, a.c as ac from b full join a on b.subject = a.subject and b.pointer = a.pointer),
+f as (select subject, pointer, unnest(list_filter([
+  case when two and not ok then 'payload_incomparable' end, case when ok and not list_has_all(at_, bt) then 'payload_type_narrowed' end, case when ok and not list_has_all(bt, at_) then 'payload_type_widened' end,
+  case when ok and ae and not be then 'payload_enum_value_removed' end, case when ok and be and not ae then 'payload_enum_value_added' end,
+  case when (ok and ar and not br) or (new and ar) then 'payload_requiredness_gained' end, case when ok and br and not ar then 'payload_requiredness_lost' end,
+  case when gone then 'payload_property_removed' end, case when new and not ar then 'payload_property_added' end,
+  case when ok and ac and not bc then 'payload_additional_properties_disallowed' end, case when ok and bc and not ac then 'payload_additional_properties_allowed' end], lambda x: x is not null)) as kind from j),
+z as (select * from f where (subject, regexp_replace(pointer, '/[^/]*$', '')) not in (select (subject, pointer) from j where new or gone or (two and not ok))),
+v as (select *, case when kind = 'payload_incomparable' then 'unknown' when kind in ('payload_type_narrowed', 'payload_enum_value_removed', 'payload_requiredness_gained', 'payload_property_removed', 'payload_additional_properties_disallowed') then 'breaking' else 'non_breaking' end as accepted,
+  case when kind in ('payload_incomparable', 'payload_property_added', 'payload_additional_properties_allowed') then 'unknown' when kind in ('payload_type_widened', 'payload_enum_value_added', 'payload_requiredness_lost', 'payload_property_removed') then 'breaking' else 'non_breaking' end as emitted from z)"""
 _PARAM = """with base as (select '/r' || (l_suppkey % 50)::varchar as route, case when l_orderkey % 3 = 0 then 'get' else 'post' end as method, (l_partkey % 12)::varchar as name, min(l_orderkey) as k from lineitem group by 1, 2, 3),
 b as (select * from base where k % 7 <> 0 and route <> '/r3' and (route <> '/r5' or method = 'get')), a as (select * from base where k % 11 <> 0 and route <> '/r4' and (route <> '/r6' or method = 'get')),
 kinds as (
@@ -107,12 +120,11 @@ kinds as (
 
 ORACLE = {
     "first_parent_walk": f"with recursive {_COMMITS}, w as (select oid, 0::bigint as step from c where oid = 45 union all select p1, step + 1 from w join c using (oid) where p1 is not null and step < 29) select oid, step from w",
-    "topological_levels": f"""with recursive {_COMMITS}, k as (select * from c where oid % 50 between 1 and 12), e as (select oid, p1 as p from k where p1 is not null union select oid, p2 from k where p2 is not null),
+    "topological_levels": f"""with recursive {_COMMITS}, k as (select * from c), e as (select oid, p1 as p from k where p1 is not null union select oid, p2 from k where p2 is not null),
 w as (select oid, 0 as level from k where p1 is null or p1 not in (select oid from k) union select e.oid, level + 1 from w join e on e.p = w.oid) select oid, max(level)::bigint as level from w group by oid""",
     "commit_decorations": f"""with {_COMMITS}, r as (select c_custkey % 100 + 1 as oid, string_agg(distinct c_name, ',' order by c_name) as refs from customer where c_custkey % 20 = 0 group by 1)
 select c.oid, coalesce(refs, '') as refs, (case when p2 is null then 0 else 1 + c.oid % 3 end)::bigint as lane from c left join r on c.oid = r.oid""",
-    "payload_changes": _PAY + """ select kind, case when kind = 'payload_incomparable' then 'unknown' when kind in ('payload_type_narrowed', 'payload_enum_value_removed', 'payload_requiredness_gained', 'payload_property_removed', 'payload_additional_properties_disallowed')
-  then 'breaking' else 'non_breaking' end as severity, count(*)::bigint as n, count(distinct subject)::bigint as subjects from f group by 1, 2""",
+    "payload_changes": _PAY + """ select kind, accepted, emitted, case when 'breaking' in (accepted, emitted) then 'breaking' when 'unknown' in (accepted, emitted) then 'unknown' else 'non_breaking' end as both, count(*)::bigint as n, count(distinct subject)::bigint as subjects from v group by 1, 2, 3, 4""",
     "parameter_changes": _PARAM + """ select kind, case when kind in ('endpoint_added', 'method_added', 'optional_parameter_added', 'parameter_became_optional', 'parameter_type_widened') then 'non_breaking' else 'breaking' end as severity, count(*)::bigint as n from kinds where kind is not null group by 1, 2""",
     "pact_outcomes": """with i as (select event_id as id, case when event_id % 3 = 0 then 'post' else 'get' end as m, case when event_id % 4 = 0 then '/' || event_type else '/' || event_type || '/' || user_id::varchar end as path, event_id % 5 < 2 as body, case when event_id % 7 = 0 then 404 else 200 end as st from events),
 o as (select * from (values ('/click/{id}', 'get', false, false, [200], 1), ('/click/7', 'get', false, true, [200, 404], 0), ('/view/{id}', 'post', true, true, [200], 1), ('/{kind}', 'get', false, false, [200, 404], 1), ('/purchase/{a}', 'get', false, true, [200], 1), ('/purchase/{b}', 'post', false, true, [200], 1)) t(route, om, req, ob, sts, holes)),

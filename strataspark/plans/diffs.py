@@ -34,7 +34,7 @@ def symbol_diff(spark, sf_dir):
 
 
 def _parameters(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    li = table(spark, sf_dir, "lineitem")
     base = li.groupBy(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").cast("string").alias("name")).agg(
         F.min("l_returnflag").alias("type"), (F.min("l_partkey") % 5 == 0).alias("optional"), F.min("l_partkey").alias("k")
     )
@@ -88,7 +88,7 @@ def new_cycles(spark, sf_dir):
 
 
 def debt_waiver(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 3")
+    o = table(spark, sf_dir, "orders")
     findings = o.select(F.col("o_orderkey").cast("string").alias("finding_id"), F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("rule_id"),
                         F.when(F.col("o_orderstatus") == "F", "fail").otherwise("unknown").alias("status"), F.col("o_orderpriority").alias("entity"))
     debts = spark.createDataFrame([("r0", "*", "all of r0"), ("r1", "URGENT", "urgent is known"), ("r1", "HIGH", "high is known"), ("r2", "1003", "one order")], "rule_id string, fingerprint string, waived_reason string")
@@ -97,7 +97,7 @@ def debt_waiver(spark, sf_dir):
 
 def _tree(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return ev.where("event_id % 3 <> 0").select((F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)).alias("day"), "user_id", "event_type").groupBy("day", F.concat_ws("/", "user_id", "event_type").alias("path")).agg(F.count("*").cast("string").alias("blob"))
+    return ev.select((F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)).alias("day"), "user_id", "event_type").groupBy("day", F.concat_ws("/", "user_id", "event_type").alias("path")).agg(F.count("*").cast("string").alias("blob"))
 
 
 def _entries(spark, sf_dir):
@@ -149,7 +149,7 @@ sm as (select f, t from sg join sn on bp = ap and bk = ak and bs = asg),
 syms as (select type, id, null as old_id from sd where type is not null and not (type = 'removed' and id in (select f from sm)) and not (type = 'added' and id in (select t from sm))
   union all select 'renamed', t, f from sm)"""
 
-_PARAMS = """with base as (select l_orderkey as owner, l_linenumber::varchar as name, min(l_returnflag) as type, min(l_partkey) % 5 = 0 as optional, min(l_partkey) as k from lineitem where l_orderkey % 3 = 0 group by 1, 2),
+_PARAMS = """with base as (select l_orderkey as owner, l_linenumber::varchar as name, min(l_returnflag) as type, min(l_partkey) % 5 = 0 as optional, min(l_partkey) as k from lineitem group by 1, 2),
 b as (select owner, name, type, optional from base where k % 13 <> 0),
 a as (select owner, name, case when k % 17 = 0 then 'X' else type end as type, case when k % 19 = 0 then not optional else optional end as optional from base where k % 11 <> 0),
 o as (select owner from b intersect select owner from a),
@@ -164,7 +164,7 @@ c0 as (select x.a, min(x.b) as component from r0 x join r0 y on x.a = y.b and x.
 m0 as (select component, string_agg(a::varchar, ',' order by a) as members from c0 group by 1 union select src, src::varchar from calls where src = dst and src not in (select a from c0)),
 m1 as (select component, string_agg(a::varchar, ',' order by a) as members from c1 group by 1 union select src, src::varchar from calls where src = dst and src % 10 <> 6 and src not in (select a from c1))"""
 
-_TREE = """with t as (select floor(epoch(ts) / 86400)::bigint as day, user_id::varchar || '/' || event_type as path, count(*)::varchar as blob from events where event_id % 3 <> 0 group by 1, 2),
+_TREE = """with t as (select floor(epoch(ts) / 86400)::bigint as day, user_id::varchar || '/' || event_type as path, count(*)::varchar as blob from events group by 1, 2),
 e as (select day - (select min(day) from t) as idx, path, blob from t), last as (select max(idx) as last from e),
 ch as (select a.idx, a.path, case when b.path is null then 'added' else 'modified' end as change from e a left join e b on a.path = b.path and b.idx = a.idx - 1 where a.idx > 0 and (b.path is null or a.blob <> b.blob)
   union all select b.idx + 1, b.path, 'deleted' from e b left join e a on a.path = b.path and a.idx = b.idx + 1 where a.path is null and b.idx < (select last from last))"""
@@ -188,7 +188,7 @@ l as (select case when contains(sp, 'brand#1') then 3 when contains(sp, 'brand#2
   case when contains(dp, 'brand#1') then 3 when contains(dp, 'brand#2') then 1 when contains(dp, 'supply') then 2 end as dl from e)
 select sl::bigint as src_layer, dl::bigint as dst_layer, count(*)::bigint as n from l where dl < sl group by 1, 2""", "supply", "symbols"),
     "new_cycles": with_ctes(_CYCLES + " select component, members from m0 where members not in (select members from m1)", "calls", recursive=True),
-    "debt_waiver": """with f as (select o_orderkey::varchar as finding_id, 'r' || (o_custkey % 4)::varchar as rule_id, case when o_orderstatus = 'F' then 'fail' else 'unknown' end as status, o_orderpriority as entity from orders where o_orderkey % 50 = 3),
+    "debt_waiver": """with f as (select o_orderkey::varchar as finding_id, 'r' || (o_custkey % 4)::varchar as rule_id, case when o_orderstatus = 'F' then 'fail' else 'unknown' end as status, o_orderpriority as entity from orders),
 d as (select * from (values ('r0', '*', 'all of r0'), ('r1', 'URGENT', 'urgent is known'), ('r1', 'HIGH', 'high is known'), ('r2', '1003', 'one order')) t(rule_id, fingerprint, waived_reason)),
 h as (select finding_id, min(waived_reason) as waived_reason from f join d on f.rule_id = d.rule_id and (fingerprint = finding_id or fingerprint = '*' or contains(entity, fingerprint)) group by 1)
 select f.finding_id, rule_id, case when waived_reason is not null and status = 'fail' then 'pass' else status end as status, waived_reason from f left join h on f.finding_id = h.finding_id""",

@@ -47,7 +47,7 @@ def lineage_exact(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("length(text) between 200 and 4000")
+    d = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("path")
     return d.where("doc_id % 3 <> 0").select(path, "text"), d.where("doc_id % 3 <> 1").select(path, "text")
 
@@ -121,11 +121,11 @@ QUERIES = {f.__name__: f for f in (
 _FACTS = """with d as (select distinct floor(epoch(ts) / 86400)::bigint as day, user_id::varchar as subject, event_type as object from events),
 o as (select day - (select min(day) from d) as idx, subject, object from d), r as (select *, idx - row_number() over (partition by subject, object order by idx) as island from o),
 s as (select subject, object, min(idx) as opened_idx, max(idx) as last_idx from r group by subject, object, island),
-facts as (select sha256(subject || '|does|' || object || '|' || opened_idx::varchar) as fact_id, subject, 'does' as predicate, object, opened_idx,
+facts as (select sha256(subject || chr(0) || 'does' || chr(0) || object || chr(0) || opened_idx::varchar || chr(0)) as fact_id, subject, 'does' as predicate, object, opened_idx,
   case when last_idx < (select max(idx) from o) then last_idx + 1 end as closed_idx from s),
 active as (select p.at_ as "at", facts.* from facts join (values (3::bigint), (11), (29)) p(at_) on opened_idx <= at_ and (closed_idx is null or closed_idx > at_))"""
 
-_SIM = """with d as (select 'src/' || doc_id::varchar as path, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from documents where length(text) between 200 and 4000),
+_SIM = """with d as (select 'src/' || doc_id::varchar as path, doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from documents),
 b as (select path, unnest(t) as w, len(t) as n from d where doc_id % 3 <> 0), a as (select path, unnest(t) as w, len(t) as n from d where doc_id % 3 <> 1),
 c as (select b.path as f, a.path as t, count(*) as common, min(b.n) + min(a.n) - count(*) as u from b join a on b.w = a.w and b.path <> a.path group by 1, 2),
 pairs as (select * from c where common >= u * 0.85)"""
@@ -145,8 +145,10 @@ ORACLE = {
     "facts_active_at": _FACTS + ' select "at", fact_id from active',
     "journal_stats": _FACTS + " select count(*)::bigint as total, count(*) filter (where closed_idx is null)::bigint as active, count(closed_idx)::bigint as retired from facts",
     "snapshot_digest": _FACTS + """, h as (select distinct "at"::varchar as "at", sha256(subject || ' does ' || object) as h from active),
-p as (select "at", substr(h, 1, 2) as bucket, count(*) as n, sha256(string_agg(h, '' order by h)) as part from h group by 1, 2)
-select "at", sum(n)::bigint as n, sha256(string_agg(part, '' order by bucket)) as digest from p group by 1""",
+p6 as (select "at", substr(h, 1, 6) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as part from h group by 1, 2),
+p4 as (select "at", substr(b, 1, 4) as b, sum(n) as n, sha256(string_agg(part, '' order by p6.b)) as part from p6 group by 1, substr(p6.b, 1, 4)),
+p2 as (select "at", substr(b, 1, 2) as b, sum(n) as n, sha256(string_agg(part, '' order by p4.b)) as part from p4 group by 1, substr(p4.b, 1, 2))
+select "at", sum(n)::bigint as n, sha256(string_agg(part, '' order by p2.b)) as digest from p2 group by 1""",
     "lineage_exact": with_ctes(""", gone as (select * from before_files where path not in (select path from after_files)), new as (select * from after_files where path not in (select path from before_files)),
 g as (select content_hash as h, count(*) as nf, min(path) as f from gone group by 1), n as (select content_hash as h, count(*) as nt, min(path) as t from new group by 1), both_ as (select g.h, nf, f, nt, t from g join n on g.h = n.h)
 select 'renamed' as kind, f as from_path, t as to_path, 'verified' as coverage from both_ where nf = 1 and nt = 1

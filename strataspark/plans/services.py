@@ -41,7 +41,7 @@ def coverage_fold(spark, sf_dir):
     (supply,) = views(spark, sf_dir, "supply")
     from strataspark.functions.coverage import fold
 
-    return supply.where("coverage <> 'unknown'").groupBy("src").agg(fold(F.col("coverage")).alias("coverage"))
+    return supply.groupBy("src").agg(fold(F.col("coverage")).alias("coverage"))
 
 
 def lcov_carry_forward(spark, sf_dir):
@@ -117,13 +117,13 @@ def change_severity(spark, sf_dir):
     return kinds.select("kind", catalog.severity(F.col("kind")).alias("severity"))
 
 
-CHANGE_KINDS = ["endpoint_removed", "method_added", "parameter_became_optional", "request_body_removed", "response_schema_changed", "message_removed", "pact_interaction_unmatched", "payload_type_widened"]
+CHANGE_KINDS = [*catalog.BREAKING, *catalog.NON_BREAKING, *catalog.UNDECIDED]
 
 
 def change_verdicts(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    kind = F.element_at(F.array(*[F.lit(k) for k in CHANGE_KINDS]), (F.col("event_id") % 8 + 1).cast("int"))
-    return catalog.verdict(ev.where("event_id % 37 < 3").select(F.col("user_id").alias("subject"), catalog.severity(kind).alias("severity")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in CHANGE_KINDS]), (F.col("event_id") % len(CHANGE_KINDS) + 1).cast("int"))
+    return catalog.verdict(ev.select(F.col("user_id").alias("subject"), catalog.severity(kind).alias("severity")))
 
 
 def session_ledger(spark, sf_dir):
@@ -191,7 +191,7 @@ _HITS = """, hits as (select 't' || (l_orderkey % 40)::varchar as suite_id, l_su
 e as (select distinct dst as u, src as v from calls where src <> dst),
 aff as (select s_suppkey::bigint as id from supplier where s_suppkey % 50 = 4 union select v from aff join e on u = id)"""
 _ENT = """with ent as (select s_name as reference, n_name as owner, r_name as domain, s_suppkey as k from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
-_SEV = """case when kind in ('endpoint_removed', 'request_body_removed', 'message_removed', 'pact_interaction_unmatched') then 'breaking' when kind in ('method_added', 'parameter_became_optional') then 'non_breaking' else 'unknown' end"""
+_SEV = f"case when list_contains({catalog.BREAKING}, kind) then 'breaking' when list_contains({catalog.NON_BREAKING}, kind) then 'non_breaking' else 'unknown' end"
 _KINDS = "['" + "', '".join(CHANGE_KINDS) + "']"
 
 ORACLE = {
@@ -203,7 +203,7 @@ select suite_id, case when (select count(*) from aff) = 0 then 'run_all' when su
 select suite_id, count(distinct source)::bigint as observed, (select total from t)::bigint as total, round(count(distinct source) / (select total from t), 9) as probability from hits where hits > 45 and source in (select id from aff) group by 1""", "calls", recursive=True),
     "coverage_merge": with_ctes(_HITS + """, m as (select suite_id, source, 0 as r from hits where source % 2 = 0 union all select suite_id, source, 1 from hits where source % 9 = 3 and length(suite_id) = 2)
 select suite_id, count(distinct source)::bigint as files, case max(r) when 0 then 'verified' else 'partial' end as coverage from m group by 1""", "calls", recursive=True),
-    "coverage_fold": with_ctes(""" select src, case max(case coverage when 'verified' then 0 when 'partial' then 1 else 2 end) when 0 then 'verified' when 1 then 'partial' else 'unsupported' end as coverage from supply where coverage <> 'unknown' group by 1""", "supply"),
+    "coverage_fold": with_ctes(""" select src, case max(case coverage when 'verified' then 0 when 'partial' then 1 when 'unsupported' then 2 else 3 end) when 0 then 'verified' when 1 then 'partial' when 2 then 'unsupported' else 'unknown' end as coverage from supply group by 1""", "supply"),
     "lcov_carry_forward": """with o as (select 't' || (l_orderkey % 40)::varchar as suite_id, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 as line_no, min(l_linenumber) as k, min(l_partkey) as p, min(l_quantity)::bigint as q from lineitem group by 1, 2),
 w as (select *, last_value(case when k = 1 then 'src/' || p::varchar end ignore nulls) over (partition by suite_id order by line_no rows unbounded preceding) as path from o)
 select suite_id, path, (p % 20)::int as line, sum(q)::bigint as hits from w where k <> 1 group by 1, 2, 3""",
@@ -232,7 +232,7 @@ j as (select coalesce(p.channel, c.channel) as channel, coalesce(p.message, c.me
   case when p.r is not null and c.r is not null then list_sort(list_filter(c.fields, lambda x: not list_contains(p.fields, x))) end as missing from p full join c on p.channel = c.channel and p.message = c.message)
 select channel, message, producer, consumer, array_to_string(missing, ',') as missing, case when missing is null then 'unchecked' when len(missing) > 0 then 'incompatible' else 'compatible' end as verdict from j""",
     "change_severity": f"select kind, {_SEV} as severity from (select unnest({_KINDS}) as kind)",
-    "change_verdicts": f"""with c as (select user_id as subject, {_KINDS}[event_id % 8 + 1] as kind from events where event_id % 37 < 3), s as (select subject, {_SEV} as severity from c)
+    "change_verdicts": f"""with c as (select user_id as subject, {_KINDS}[event_id % {len(CHANGE_KINDS)} + 1] as kind from events), s as (select subject, {_SEV} as severity from c)
 select subject, case when bool_or(severity = 'breaking') then 'breaking' when bool_or(severity = 'unknown') then 'unknown' else 'compatible' end as verdict from s group by 1""",
     "session_ledger": """with g as (select user_id as session_id, count(*) as queries, count(*) filter (where event_type = 'view') as hits, sum(length(props)) as spent, sum(event_id % 50) as saved from events group by 1)
 select session_id, queries::bigint as queries, hits::bigint as hits, spent::bigint as spent, saved::bigint as saved, (saved * 3)::bigint as cost, round(case when spent + saved = 0 then 0.0 else least(99.9, greatest(0.0, 100.0::double * saved / (spent + saved))) end, 6) as saved_percent, round(hits / queries, 6) as hit_ratio from g""",

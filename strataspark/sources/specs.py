@@ -6,24 +6,11 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _rows(docs: DataFrame, read, schema: str) -> DataFrame:
-    """read(path, content) -> tuples of schema, run on Arrow batches; a document that cannot be read gives what `read`
-    returns for None."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in read(p, c if isinstance(c, str) else "")]
-            yield pd.DataFrame(rows, columns=names).astype(object)
-
-    return docs.select("path", "content").mapInPandas(run, schema)
+from strataspark.sources.documents import read_rows as _rows
 
 
 def otlp_spans(docs: DataFrame) -> DataFrame:
@@ -45,36 +32,6 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
-
-
-def openapi_parameters(docs: DataFrame) -> DataFrame:
-    """(path, route, method, operation_id, location, name, required, type) of OpenAPI 3 documents in JSON; an operation
-    without parameters gives one row with null names. Local $ref of parameters are resolved."""
-
-    def read(path, content):
-        try:
-            doc = json.loads(content)
-        except ValueError:
-            return
-        for route, item in sorted((doc.get("paths") or {}).items()):
-            for method in METHODS:
-                op = item.get(method)
-                if op is None:
-                    continue
-                params = [*item.get("parameters", []), *op.get("parameters", [])]
-                for p in params or [None]:
-                    while p and "$ref" in p:
-                        node = doc
-                        for step in p["$ref"].removeprefix("#/").split("/"):
-                            node = node.get(step.replace("~1", "/").replace("~0", "~"), {})
-                        p = node
-                    p = p or {}
-                    yield (path, route, method, op.get("operationId"), p.get("in"), p.get("name"), bool(p.get("required", False)), (p.get("schema") or {}).get("type"))
-
-    return _rows(docs, read, "path string, route string, method string, operation_id string, location string, name string, required boolean, type string")
-
-
 def manifests(docs: DataFrame) -> DataFrame:
     """(path, ecosystem, package, requirement, scope, source) of package.json, requirements.txt, go.mod and Cargo.toml."""
 

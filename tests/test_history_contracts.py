@@ -31,5 +31,32 @@ def test_schema_facts_and_payload_changes(spark):
     assert rows[("old", "/c/[]")] == (["string"], False, "verified") and rows[("new", "/c")][0] == ["array"]
     assert rows[("new", "/d")] == (["string"], True, "partial") and rows[("new", "/a")][0] == ["integer", "null"]
     side = lambda p: f.where(f"path = '{p}'").selectExpr("'s' as subject", "pointer", "types", "enums", "required", "closed", "coverage")
-    got = {(r["pointer"], r["kind"], r["severity"]) for r in contracts.payload_changes(side("old").where("pointer <> ''"), side("new").where("pointer <> ''"), True).collect()}
+    got = {(r["pointer"], r["kind"], r["severity"]) for r in contracts.payload_changes(side("old").where("pointer <> ''"), side("new").where("pointer <> ''"), "accepted").collect()}
     assert got == {("/a", "payload_type_widened", "non_breaking"), ("/b", "payload_enum_value_removed", "breaking"), ("/d", "payload_requiredness_gained", "breaking")}
+
+
+def facts(spark, docs):
+    return contracts.schema_facts(spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in docs.items()], "path string, content string"))
+
+
+def test_schemas_that_refer_to_themselves_end(spark):
+    tree = {"type": "object", "properties": {"left": {"$ref": "#"}, "right": {"$ref": "#"}, "name": {"type": "string"}}}
+    loop = {"properties": {"a": {"$ref": "#/properties/b"}, "b": {"$ref": "#/properties/a"}, "c": {"$ref": "#/x/0/y"}, "d": {"$ref": "#/list/1"}}, "list": [1, {"type": "null"}]}
+    rows = {(r["path"], r["pointer"]): (r["types"], r["coverage"]) for r in facts(spark, {"tree": tree, "loop": loop, "top": [1], "none": "null", "bad": "{"}).collect()}
+    assert rows["tree", "/name"] == (["string"], "verified") and rows["tree", "/left/left"] == ([], "unknown")
+    assert rows["loop", "/a"] == ([], "unknown") and rows["loop", "/c"] == ([], "unknown") and rows["loop", "/d"] == (["null"], "verified")
+    assert rows["top", ""] == ([], "unknown") and len(rows) < 30
+
+
+def test_payloads_by_direction(spark):
+    """Absent types, whole payloads, and what lies below an incomparable or removed node."""
+    old = {"properties": {"t": {}, "n": {"type": "object", "pattern": "x", "properties": {"x": {"type": "string"}}}, "gone": {"type": "object", "properties": {"y": {"type": "string"}}}}}
+    new = {"properties": {"t": {"type": "string"}, "n": {"type": "object", "properties": {"x": {"type": "integer"}}}, "more": {"type": "string"}}}
+    f = facts(spark, {"old": old, "new": new})
+    side = lambda p: f.where(f"path = '{p}'").selectExpr("'s' as subject", "pointer", "types", "enums", "required", "closed", "coverage")
+    want = {"accepted": ("breaking", "non_breaking"), "emitted": ("non_breaking", "unknown"), "both": ("breaking", "unknown")}
+    for way, (narrowed, added) in want.items():
+        got = {(r["pointer"], r["kind"], r["severity"]) for r in contracts.payload_changes(side("old"), side("new"), way).collect()}
+        assert got == {("/t", "payload_type_narrowed", narrowed), ("/n", "payload_incomparable", "unknown"), ("/gone", "payload_property_removed", "breaking"), ("/more", "payload_property_added", added)}
+    whole = {(r["pointer"], r["kind"], r["severity"]) for r in contracts.payload_changes(side("old"), side("new").limit(0), "emitted").collect()}
+    assert whole == {("", "message_payload_removed", "breaking")}

@@ -4,7 +4,7 @@ import pytest
 
 from strataspark.functions.storage import shared_dir
 from strataspark.sinks import reports
-from strataspark.sources import files, specs
+from strataspark.sources import files, interfaces, specs
 from strataspark.streaming import live
 
 
@@ -53,7 +53,7 @@ def test_manifests(spark):
 
 def test_openapi_and_otlp(spark):
     api = {"paths": {"/o/{id}": {"get": {"operationId": "g", "parameters": [{"$ref": "#/components/parameters/id"}, {"in": "query", "name": "q", "schema": {"type": "string"}}]}, "post": {}}}, "components": {"parameters": {"id": {"in": "path", "name": "id", "required": True, "schema": {"type": "integer"}}}}}
-    rows = {tuple(r)[1:] for r in specs.openapi_parameters(spark.createDataFrame([("a.json", json.dumps(api)), ("b", "x")], "path string, content string")).collect()}
+    rows = {tuple(r)[1:] for r in interfaces.openapi_parameters(spark.createDataFrame([("a.json", json.dumps(api)), ("b", "x")], "path string, content string")).collect()}
     assert rows == {("/o/{id}", "get", "g", "path", "id", True, "integer"), ("/o/{id}", "get", "g", "query", "q", False, "string"), ("/o/{id}", "post", None, None, None, False, None)}
     span = {"traceId": "AA", "spanId": "B1", "parentSpanId": "", "name": "n", "kind": 2, "startTimeUnixNano": "5", "endTimeUnixNano": "9", "attributes": [{"key": "http.route", "value": {"stringValue": "/o/{id}"}}]}
     doc = {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "svc"}}]}, "scopeSpans": [{"spans": [span]}]}]}
