@@ -30,7 +30,7 @@ from strataspark.llm.common import columns_of, components, forget, fresh, may_ho
 
 WORDS, TREES, DEPTH, TARGET_RECALL = 5, 16, 6, 0.9995
 #: Members of a block of a trie node, and members and grams of a block of a cluster.
-NODE_BLOCK, CLUSTER_BLOCK, GRAM_BLOCK = 1000, 400, 200_000
+NODE_BLOCK, CLUSTER_BLOCK, GRAM_BLOCK = 300, 400, 200_000
 #: A pair in a node goes on if its signature similarity is at most this many standard errors below the threshold.
 SLACK = 4.0
 #: The recall is estimated as if so many pairs at the threshold itself had been met besides those of the data, so few
@@ -164,10 +164,11 @@ def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _node_edges(least: float, threshold: float, prefix: int):
     """Star edges (a, b) between members of a node whose signatures agree in at least that share of places; and a row
-    without ends for the node's likely links (similarity >= threshold): how many there are, and how many they stand
-    for. A pair that meets in several trees counts in each by its share."""
+    without ends for the likely links (similarity >= threshold) of all nodes: how many there are, and how many they
+    stand for. A pair that meets in several trees counts in each by its share."""
 
     def run(batches):
+        out_a, out_b, n_out, found, expected = [], [], 0, 0.0, 0.0
         for pdf in by_run(batches, ["node", "a", "b"]):
             ids = pdf["rep"].to_numpy()
             sig = np.frombuffer(b"".join(pdf["labels"]), ">u2").astype(np.uint16).reshape(len(ids), -1)
@@ -177,7 +178,7 @@ def _node_edges(least: float, threshold: float, prefix: int):
             whole = pdf["a"].iloc[0] == pdf["b"].iloc[0]
             rows = range(len(ids) - 1) if whole else np.flatnonzero(part == 0)
             right_all = np.arange(len(ids)) if whole else np.flatnonzero(part == 1)
-            left, right, found, expected = [], [], 0.0, 0.0
+            left, right = [], []
             for i in rows:
                 cand = np.arange(i + 1, len(ids)) if whole else right_all
                 agree = sig[cand] == sig[i]
@@ -194,10 +195,20 @@ def _node_edges(least: float, threshold: float, prefix: int):
             if left:
                 root = roots_of(len(ids), np.concatenate(left), np.concatenate(right))
                 moved = root != np.arange(len(ids))
-                none = np.zeros(int(moved.sum()))
-                yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]], "found": none, "expected": none})
-            if found:
-                yield pd.DataFrame({"a": [None], "b": [None], "found": [found], "expected": [expected]}).astype({"a": "Int64", "b": "Int64"})
+                out_a.append(ids[moved])
+                out_b.append(ids[root[moved]])
+                n_out += int(moved.sum())
+            if n_out > 20_000:
+                yield edges(out_a, out_b)
+                out_a, out_b, n_out = [], [], 0
+        if n_out:
+            yield edges(out_a, out_b)
+        if found:
+            yield pd.DataFrame({"a": [None], "b": [None], "found": [found], "expected": [expected]}).astype({"a": "Int64", "b": "Int64"})
+
+    def edges(a, b):
+        a = np.concatenate(a)
+        return pd.DataFrame({"a": a, "b": np.concatenate(b), "found": np.zeros(len(a)), "expected": np.zeros(len(a))})
 
     return run
 
