@@ -11,7 +11,7 @@ from strataspark.operators.graph import reach
 
 def lcov_hits(lines: DataFrame) -> DataFrame:
     """(suite_id, path, line, hits) from raw lines(suite_id, line_no, text): the last SF record before a DA record
-    names its file. Repeated lines of a file add up; records that `lcov_errors` names do not count.
+    names its file. Repeated lines of a file add up; records that `lcov_errors` names do not count, and lines before any file have a null path.
 
     A suite is read in blocks of LCOV_BLOCK line numbers: the last file of each block is carried to the next, so a long
     record is not one task's."""
@@ -23,7 +23,7 @@ def lcov_hits(lines: DataFrame) -> DataFrame:
     carried = blocks.select("suite_id", "block", F.last("last", True).over(before).alias("carried"))
     w = Window.partitionBy("suite_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     local = whole.withColumn("local", F.last(sf, True).over(w)).where(F.col("text").rlike(LCOV_RECORD))
-    seen = local.join(carried, ["suite_id", "block"]).withColumn("path", F.coalesce("local", "carried")).where("path is not null")
+    seen = local.join(carried, ["suite_id", "block"]).withColumn("path", F.coalesce("local", "carried"))
     parts = F.split(F.expr("substring(text, 4)"), ",")
     return seen.groupBy("suite_id", "path", parts[0].cast("int").alias("line")).agg(F.sum(parts[1].cast("bigint")).alias("hits"))
 
