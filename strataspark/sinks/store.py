@@ -56,6 +56,6 @@ def import_session(spark: SparkSession, path: str, schema) -> DataFrame:
 def publish(events: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """A query that appends live events(seq_id, event_type, data_json) to path as server-sent events, one text line each
     with its id; `every` is how often (a pause between polls), without it what is there is published once."""
-    line = F.format_string("id: %d\\nevent: %s\\ndata: %s\\n", "seq_id", "event_type", "data_json").alias("value")
+    line = F.format_string("id: %d\nevent: %s\ndata: %s\n", "seq_id", "event_type", "data_json").alias("value")
     w = events.select(line).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

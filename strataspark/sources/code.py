@@ -19,7 +19,7 @@ _NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 _ARGS = r"\s*(?:<[^<>()]*>)?\s*(?P<args>\([^()]*(?:\([^()]*\)[^()]*)*\))"
 _TYPES_JAVA = r"\b(?P<kind>class|interface|enum|record|struct)\s+(?P<name>\w+)"
-_METHOD_JAVA = r"(?m)^[ \t]*(?:@\w+(?:\([^()]*\))?\s+)*(?P<mods>(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|synchronized|fun|open|suspend)\s+)*)(?:<[^<>]*>\s*)?(?:[\w.<>\[\],?]+\s+)?(?P<name>\w+)" + _ARGS + r"[^;{}=]*\{"
+_METHOD_JAVA = r"(?m)(?:^|(?<=[{};]))[ \t]*(?:@\w+(?:\([^()]*\))?\s+)*(?P<mods>(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|synchronized|fun|open|suspend)\s+)*)(?:<[^<>]*>\s*)?(?:[\w.<>\[\],?]+\s+)?(?P<name>\w+)" + _ARGS + r"[^;{}=]*\{"
 #: Declarations by language: (kind or None where the pattern has it, pattern, whether only inside a type).
 DECLARATIONS = {
     "typescript": [
@@ -27,7 +27,7 @@ DECLARATIONS = {
         ("type", r"\btype\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*=", False),
         ("function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)" + _ARGS, False),
         ("function", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?P<args>\([^()]*\)|[\w$]+)\s*(?::[^={;]+)?=>", False),
-        ("method", r"(?m)^[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*)(?P<name>#?[\w$]+)" + _ARGS + r"\s*(?::[^{;]+)?\{", True),
+        ("method", r"(?m)(?:^|(?<=[{};]))[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*)(?P<name>#?[\w$]+)" + _ARGS + r"\s*(?::[^{;]+)?\{", True),
     ],
     "go": [
         ("method", r"\bfunc\s+\(\s*\w*\s*\*?(?P<scope>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>\w+)" + _ARGS, False),
@@ -45,7 +45,7 @@ IMPORTS = {
     "java": [r"\b(?:import|using)\s+(?:static\s+)?(?P<spec>[\w.]+)\s*;?"],
 }
 #: Words before a parenthesis that call nothing.
-KEYWORDS = set("if for while switch catch return function func fn match new typeof sizeof super constructor await yield throw assert when lock using synchronized defer go select in of and or not".split())
+KEYWORDS = set("if for while switch catch return function func fn new typeof sizeof super await yield throw assert when lock using synchronized".split())
 HIDDEN = {"private", "protected", "internal"}
 
 
@@ -76,8 +76,8 @@ def read_code(path: str, content: str):
     if language is None:
         return
 
-    def row(kind, **values):
-        return tuple(({"path": path, "row": kind} | values).get(n) for n in _NAMES)
+    def row(what, **values):
+        return tuple(({"path": path, "row": what} | values).get(n) for n in _NAMES)
 
     text = blanked(content, language)
     closes, balanced = braces(text)
@@ -88,7 +88,7 @@ def read_code(path: str, content: str):
     for kind, pattern, _inside in DECLARATIONS[language]:
         for m in re.finditer(pattern, text):
             g = m.groupdict()
-            if g["name"] in KEYWORDS or (kind in ("method", "function") and g["name"] in ("constructor",) and language != "typescript"):
+            if g["name"] in KEYWORDS:
                 continue
             head = m.end() - 1 if text[m.end() - 1] == "{" else next((o for o in opens[bisect_right(opens, m.end() - 1):][:1] if not re.search(r"[;}]", text[m.end() : o])), None)
             end = closes.get(head, m.end()) if head is not None else m.end()
