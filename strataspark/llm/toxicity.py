@@ -82,7 +82,7 @@ def _gather(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(start - _runs(lens), lens) + np.arange(lens.sum())
 
 
-def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rate: float = 0.08, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, warm: int = 2, seed: int = 11) -> Model:
+def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rate: float = 0.12, decay: float = 1e-3, min_texts: int = 5, parts: int = 8, batch: int = 512, warm: int = 2, seed: int = 11) -> Model:
     """Joint training of table and softmax by Adam with weight decay on mini-batches of texts (lists of words).
 
     Each round takes one window of each text: a clean text's worst one under the model so far, for that is what it is
@@ -96,9 +96,6 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
     table = np.zeros((BUCKETS, DIM), np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    labels = np.array(labels, np.int64)
-    if len(set(labels.tolist())) < 2:
-        return Model(table, out, bias, learned=False)
     names: dict[str, int] = {}
     bag_ids, bag_x, windows, lone = [], [], [], []
     for t in texts:  # one by one, so that only numbers are held of all texts
@@ -108,6 +105,9 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
         bag_ids += [i for i, _ in own]
         bag_x += [x for _, x in own]
         lone.append(np.unique(ids))
+    labels = np.array(labels, np.int64)  # read after the texts, for `fit` learns them together
+    if len(set(labels.tolist())) < 2:
+        return Model(table, out, bias, learned=False)
     subs = [subwords(w) for w in names]
     n_sub = np.array([len(b) for b in subs], np.int64)
     flat = np.concatenate([np.array(b, np.int64) for b in subs] or [np.zeros(0, np.int64)])
@@ -155,13 +155,16 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
     m_t, v_t = np.zeros_like(table), np.zeros(BUCKETS, np.float32)  # what Adam keeps of each parameter
     mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros_like(bias), np.zeros_like(bias)
     met, place = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
-    step, rounds = 0, -(-steps * batch // max(1, len(labels) + len(small)))
-    for turn in range(rounds):
+    step, turn = 0, -1
+    while step < steps:
+        turn += 1
         chosen = first + rng.integers(0, windows)
         if turn >= warm:
             chosen = np.where(labels == 0, worst(), chosen)
         some = np.concatenate([chosen, small])
         order = rng.permutation(some[bag_len[some] > 0])
+        if not len(order):
+            break
         for at in range(0, len(order), batch):
             ks = order[at : at + batch]
             step += 1
@@ -189,14 +192,15 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
             touched = np.flatnonzero(np.bincount(g_ids, minlength=BUCKETS))
             spread = np.repeat(g_w, cnt, axis=0)
             g_t = np.stack([np.bincount(g_ids, spread[:, d], BUCKETS)[touched] for d in range(DIM)], 1)
+            now = rate * max(0.05, 1 - step / steps)  # smaller steps towards the end, so that the result is settled
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
             m_t[touched] = 0.9 * m_t[touched] + 0.1 * g_t
             v_t[touched] = 0.999 * v_t[touched] + 0.001 * (g_t * g_t).mean(1)
-            table[touched] -= rate * decay * table[touched] + rate * (m_t[touched] / c1) / (np.sqrt(v_t[touched] / c2)[:, None] + 1e-7)
+            table[touched] -= now * decay * table[touched] + now * (m_t[touched] / c1) / (np.sqrt(v_t[touched] / c2)[:, None] + 1e-7)
             for par, grad, m, v in ((out, g_out, mo, vo), (bias, g_bias, mb, vb)):
                 m[:] = 0.9 * m + 0.1 * grad
                 v[:] = 0.999 * v + 0.001 * grad * grad
-                par -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+                par -= now * (m / c1) / (np.sqrt(v / c2) + 1e-8)
     return Model(table, out, bias)
 
 

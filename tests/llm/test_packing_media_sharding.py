@@ -112,6 +112,21 @@ def test_probe_of_foreign_layouts():
     media.probe(blob[: len(free) + 30])
 
 
+def test_damaged_files_are_read_as_far_as_the_bytes_go():
+    rnd = random.Random(5)
+    for _ in range(1000):
+        blob = bytearray(media.mux(media.pad(rnd.randbytes(rnd.choice([0, 10, 5000])))))
+        for _ in range(rnd.randint(1, 6)):
+            at = rnd.randrange(min(len(blob), 760))
+            blob[at : at + rnd.choice([1, 4])] = rnd.choice([b"\xff\xff\xff\xff", b"\x7f\xff\xff\xff", b"\0\0\0\0", b"\1", rnd.randbytes(1)])
+        if rnd.random() < 0.3:
+            del blob[rnd.randrange(len(blob)) :]
+        for t in media.probe(bytes(blob)):
+            got = media.samples(bytes(blob), t)
+            assert len(got) == t.sizes.sum() <= len(blob)
+            assert all(0 <= a <= b <= len(blob) for a, b in media.key_ranges(t)) and media.describe(t)
+
+
 def test_media_columns(spark, odd_docs, no_docs):
     import hashlib
 
@@ -122,6 +137,8 @@ def test_media_columns(spark, odd_docs, no_docs):
         p = media.pad(raw[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw[r["doc_id"]]), len(p))
         assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-32:])
+        blob = media.mux(p)
+        assert r["codec"] == "raw" and r["seconds"] == len(p) / 576 / 25 and b"".join(blob[k["first"] : k["end"]] for k in r["keyframes"]) == p
     assert len({(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] in (1, 2, None)}) == 1
 
 
