@@ -92,6 +92,9 @@ SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
     "ipv4": r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$",
     "mac": r"^([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$",
+    "ipv6": r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?::(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?)$",
+    "auth_scheme": r"^(?i:bearer|basic|digest)\s+\S+$",
+    "private_key": r"^-----BEGIN ([A-Z0-9]+ ){0,3}PRIVATE KEY-----",
 }
 
 

@@ -40,13 +40,17 @@ def file_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return plain.unionAll(moved.select(F.lit("renamed"), "to_id", "from_id"))
 
 
-def symbol_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+def symbol_diff(before: DataFrame, after: DataFrame, moved_files: DataFrame | None = None) -> DataFrame:
     """(type, id, old_id) over symbols(id, path, kind, signature, line, visibility): renamed where one removed and one
-    added symbol agree in file, kind and non-null signature; modifications name the first field that differs."""
+    added symbol agree in file, kind and non-null signature; modifications name the first field that differs. A file
+    of moved_files(path, old_path), as `file_diff` gives renames, counts as the one it became."""
     fields = ["path", "kind", "signature", "visibility", "line"]
     d = full_diff(before, after, ["id"], fields)
     keys = ["path", "kind", "signature"]
     gone = d.where("type = 'removed' and old_signature is not null").select("id", *[F.col(f"old_{k}").alias(k) for k in keys])
+    if moved_files is not None:
+        to = moved_files.where("old_path is not null").select(F.col("old_path").alias("path"), F.col("path").alias("__to"))
+        gone = gone.join(to, "path", "left").select("id", F.coalesce("__to", "path").alias("path"), "kind", "signature")
     new = d.where("type = 'added' and new_signature is not null").select("id", *[F.col(f"new_{k}").alias(k) for k in keys])
     moved = unique_pairs(gone, new, keys, "id", "id").select("from_id", "to_id")
     what = (

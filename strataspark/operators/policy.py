@@ -70,3 +70,28 @@ def evaluate_gates(inputs: dict[str, DataFrame]) -> DataFrame | None:
     """The findings of all registered gates with their gate_id, in the order of ids."""
     parts = [GATES[g](inputs).withColumn("gate_id", F.lit(g)) for g in sorted(GATES)]
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def evaluate_rules(rules: list[dict], edges: DataFrame, nodes: DataFrame, baseline_edges: DataFrame | None = None) -> DataFrame | None:
+    """(rule_id, severity, src, dst, status) of rules as `sources.catalogs.read_rules` gives them, over edges(src, dst, kind) and
+    nodes(id, path); a kind that is not known here is an error, a rule without what it compares with is `unknown`."""
+    located, out = with_paths(edges, nodes), []
+    for r in rules:
+        kind = r["kind"]
+        if kind == "forbidden_dependency":
+            found = forbidden_dependencies(located, r.get("scope_source", "*"), r.get("scope_target", "*")).select("src", "dst")
+        elif kind == "layers":
+            found = layer_violations(located, r.get("layers", [])).select("src", "dst")
+        elif kind == "no_new_cycle" and baseline_edges is not None:
+            found = new_cycles(edges, baseline_edges).select(F.col("component").alias("src"), F.element_at("members", -1).alias("dst"))
+        elif kind in ("no_new_cycle", "api_compatibility"):
+            found = edges.limit(0).select("src", "dst")
+        else:
+            raise ValueError(f"rule {r['id']!r} is of the unknown kind {kind!r}")
+        rows = found.select(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("severity", "error")).alias("severity"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("fail").alias("status"))
+        if kind == "api_compatibility" or (kind == "no_new_cycle" and baseline_edges is None):
+            nothing = F.lit(None).cast("string")
+            one = edges.sparkSession.range(1)
+            rows = one.select(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("severity", "error")).alias("severity"), nothing.alias("src"), nothing.alias("dst"), F.lit("unknown").alias("status"))
+        out.append(rows)
+    return reduce(lambda a, b: a.unionByName(b), out) if out else None

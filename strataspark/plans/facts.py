@@ -165,7 +165,8 @@ select kind, count(*)::bigint as n from (
   select case when regexp_full_match(w, 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*') then 'jwt' when regexp_full_match(w, '(AKIA|ASIA)[A-Z0-9]{16}') then 'aws_key'
     when regexp_full_match(w, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') then 'email'
     when regexp_full_match(w, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') then 'ipv4'
-    when regexp_full_match(w, '([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}') then 'mac' end as kind from w
+    when regexp_full_match(w, '([0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}') then 'mac'
+    when regexp_full_match(w, '([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?::(([0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})?') then 'ipv6' end as kind from w
   union all select 'card' from l where ok) where kind is not null group by 1""",
     "route_subsumption": _ROUTE + " select * from matches",
     "undocumented_routes": _ROUTE + r""", lost as (select * from spans where span_id in (select span_id from matches where outcome = 'undocumented'))

@@ -14,13 +14,17 @@ from strataspark.sources.documents import read_rows as _rows
 
 
 def otlp_spans(docs: DataFrame) -> DataFrame:
-    """Spans of OTLP/JSON exports(path, content), JVM-side: resourceSpans, scopeSpans, spans; attributes as a map."""
-    attr = "array<struct<key:string,value:struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>>>"
-    span = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{attr}>"
+    """Spans of OTLP/JSON exports(path, content), JVM-side: resourceSpans, scopeSpans, spans; attributes as a map (arrays as
+    JSON text), names of events, ids of linked spans, status."""
+    attr = "array<struct<key:string,value:struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double,arrayValue:struct<values:array<struct<stringValue:string,intValue:string>>>>>>"
+    event = f"struct<timeUnixNano:string,name:string,attributes:{attr}>"
+    link = f"struct<traceId:string,spanId:string,attributes:{attr}>"
+    status = "struct<code:string,message:string>"
+    span = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{attr},events:array<{event}>,links:array<{link}>,status:{status}>"
     schema = f"struct<resourceSpans:array<struct<resource:struct<attributes:{attr}>,scopeSpans:array<struct<spans:array<{span}>>>>>>"
 
     def as_map(c):
-        return F.map_from_entries(F.transform(c, lambda a: F.struct(a["key"].alias("k"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["boolValue"].cast("string"), a["value"]["doubleValue"].cast("string")).alias("v"))))
+        return F.map_from_entries(F.transform(c, lambda a: F.struct(a["key"].alias("k"), F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["boolValue"].cast("string"), a["value"]["doubleValue"].cast("string"), F.to_json(a["value"]["arrayValue"]["values"])).alias("v"))))
 
     r = docs.select("path", F.explode(F.from_json("content", schema)["resourceSpans"]).alias("r"))
     s = r.select("path", as_map(F.col("r.resource.attributes"))["service.name"].alias("service"), F.explode("r.scopeSpans").alias("s")).select("path", "service", F.explode("s.spans").alias("s"))
@@ -29,6 +33,8 @@ def otlp_spans(docs: DataFrame) -> DataFrame:
         F.col("path").alias("window_id"), F.lower("s.traceId").alias("trace_id"), F.lower("s.spanId").alias("span_id"), F.nullif(F.lower("s.parentSpanId"), F.lit("")).alias("parent_span_id"),
         "service", "s.name", "s.kind", F.col("s.startTimeUnixNano").cast("bigint").alias("start_unix_nano"), F.col("s.endTimeUnixNano").cast("bigint").alias("end_unix_nano"),
         a["http.route"].alias("route"), a["http.request.method"].alias("http_method"), a["code.function"].alias("code_function"), a["code.filepath"].alias("code_filepath"),
+        F.greatest(F.coalesce(F.size("s.events"), F.lit(0)), F.lit(0)).alias("events"), F.transform("s.events", lambda e: e["name"]).alias("event_names"), F.transform("s.links", lambda x: F.lower(x["spanId"])).alias("linked"),
+        F.when(F.col("s.status.code").isin("2", "STATUS_CODE_ERROR"), "error").when(F.col("s.status.code").isin("1", "STATUS_CODE_OK"), "ok").otherwise("unset").alias("status"),
     )
 
 

@@ -187,3 +187,66 @@ def test_lcov_over_blocks(spark, monkeypatch):
 def test_sarif_of_unused_rules_is_empty(spark):
     none = spark.createDataFrame([], "finding_id string, rule_id string, severity string, message string")
     assert reports.sarif_results(none, spark.createDataFrame([], "finding_id string, path string, line int")).count() == 0
+
+
+def test_ignore_rules(spark):
+    from strataspark.sources import files
+
+    rules = ["# note", "", "*.log", "/out", "docs/*.md", "cache/", "!keep.log", "**/tmp/**", "a?c"]
+    paths = {"x.log": True, "d/x.log": True, "keep.log": False, "out/f": True, "d/out/f": False, "docs/a.md": True, "docs/d/a.md": False, "cache/f": True, "d/cache/f": True, "cache": False, "d/tmp/e/f": True, "abc": True, "abbc": False, "src/a.py": False}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r["path"]: r["i"] for r in df.select("path", files.ignored(records.F.col("path"), rules).alias("i")).collect()} == paths
+
+
+def test_scan_heeds_its_ignore_file(spark, tmp_path):
+    from strataspark.sources import files
+
+    for p, text in {".gitignore": "*.log\n", "a.py": "x = 1\r\n", "b.log": "z", "big.py": "y" * 500}.items():
+        (tmp_path / p).write_bytes(text.encode())
+    rows = {r["path"]: r for r in files.scan(spark, str(tmp_path), max_bytes=100).collect()}
+    assert set(rows) == {"a.py", "big.py"} and rows["a.py"]["content"] == "x = 1\n" and rows["big.py"]["skipped"] == "too_large" and rows["big.py"]["content"] is None
+
+
+def test_suite_imports(spark):
+    from strataspark.sources import files
+
+    f = spark.createDataFrame([("src/a.ts", ""), ("src/a.test.ts", "import { x } from './a';\nimport y from 'jest';\nimport z from './gone';")], "path string, content string")
+    assert {tuple(r) for r in files.suite_imports(f).collect()} == {("src/a.test.ts", "src/a.ts", "resolved"), ("src/a.test.ts", "external::jest", "external"), ("src/a.test.ts", None, "unresolved")}
+
+
+def test_plugins(spark):
+    from strataspark import plugins
+
+    assert plugins.members("layout") == ["golden-angle"]
+    with pytest.raises(ValueError, match="unknown"):
+        plugins.register("other", "x")
+    with pytest.raises(ValueError, match="twice"):
+        plugins.register("layout", "golden-angle")(lambda *_: None)
+    with pytest.raises(KeyError, match="golden-angle"):
+        plugins.get("layout", "none")
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert plugins.get("layout", "golden-angle")(nodes, None).count() == 2
+    files = spark.createDataFrame([("a.ts", "import {q} from './q';\nfunction f() { g(); }\nfunction g() {}")], "path string, content string")
+    got = {tuple(r) for r in plugins.get("extractor", "code")(files).collect()}
+    assert ("a.ts#function:f", "calls", "a.ts#function:g") in got and ("a.ts", "imports", "./q") in got
+
+
+def test_rules_are_dispatched(spark):
+    from strataspark.operators import policy
+
+    nodes = spark.createDataFrame([("a", "ui/a"), ("b", "db/b")], "id string, path string")
+    edges = spark.createDataFrame([("a", "b", "calls")], "src string, dst string, kind string")
+    rules = [{"id": "r", "kind": "forbidden_dependency", "scope_source": "ui/*", "scope_target": "db/*"}, {"id": "s", "kind": "api_compatibility"}]
+    assert {tuple(r) for r in policy.evaluate_rules(rules, edges, nodes).collect()} == {("r", "error", "a", "b", "fail"), ("s", "error", None, None, "unknown")}
+    with pytest.raises(ValueError, match="unknown kind"):
+        policy.evaluate_rules([{"id": "x", "kind": "other"}], edges, nodes)
+
+
+def test_symbols_follow_moved_files(spark):
+    from strataspark.operators import diff
+
+    cols = "id string, path string, kind string, signature string, visibility string, line int"
+    before, after = spark.createDataFrame([("old#f", "old.py", "function", "(x)", "public", 1)], cols), spark.createDataFrame([("new#f", "new.py", "function", "(x)", "public", 1)], cols)
+    moved = spark.createDataFrame([("new.py", "old.py")], "path string, old_path string")
+    assert {tuple(r) for r in diff.symbol_diff(before, after, moved).collect()} == {("renamed", "new#f", "old#f")}
+    assert {r["type"] for r in diff.symbol_diff(before, after).collect()} == {"added", "removed"}
