@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.llm.common import components, forget, written
@@ -29,8 +29,10 @@ from strataspark.llm.jaccard_join import block_pairs, by_run, roots_of
 BLOCK, DEGREE, ALPHA, POOL, MEDOIDS = 500, 24, 1.2, 64, 16
 #: Centroids keep a cosine below this.
 APART = 0.9
-#: Centroids in all, and rows of the sample that they are fitted on.
+#: Centroids that are fitted on the driver, and rows of the sample for each.
 MAX_CENTROIDS, SAMPLE_EACH = 2048, 16
+#: Bytes of the centroids that are fitted under these, and rows that those of one are fitted on.
+LEAF_BYTES, LEAF_SAMPLE = 1 << 26, 4096
 #: Audit queries: at least this many, and this many times the square root of the rows.
 AUDIT_QUERIES, AUDIT_ROOTS, TARGET_RECALL = 200, 4, 0.99
 #: (spread, beam) of the first and of the later tries. The distance of two linked vectors across a border is that many
@@ -259,32 +261,64 @@ def all_links(reps: DataFrame, least: float) -> DataFrame:
 
 
 def _centroids(reps: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids of the labels that have more than BLOCK representatives; MAX_CENTROIDS in all."""
+    """Centroids of the labels that have more than BLOCK representatives, one for about half a block. Up to MAX_CENTROIDS in
+    all are fitted here on a bounded sample. More are fitted under these, each one's on rows that are nearest to it, by
+    tasks of at most LEAF_SAMPLE rows; all together they take LEAF_BYTES at most, beyond which shards grow."""
     big = reps.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "label").limit(MAX_CENTROIDS // 2).collect()
     if not big:
         return {}
-    want = {r["label"]: -(-r["n"] // (BLOCK // 2)) for r in big}
-    scale = min(1.0, MAX_CENTROIDS / sum(want.values()))
-    want = {k: max(2, int(v * scale)) for k, v in want.items()}
-    spark = reps.sparkSession
-    share = spark.createDataFrame([(r["label"], min(1.0, SAMPLE_EACH * want[r["label"]] / r["n"])) for r in big], "label string, share double")
-    place = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_003)) / 1_000_003
-    rows = (
-        reps.join(F.broadcast(share), "label")  # at most MAX_CENTROIDS / 2 rows
-        .where(place < F.col("share"))
-        .select("label", "rep", "unit")
-        .limit(2 * MAX_CENTROIDS * SAMPLE_EACH)
-        .collect()
-    )
-    out = {}
-    for label in want:
+    count = {r["label"]: r["n"] for r in big}
+    wanted = {k: -(-n // (BLOCK // 2)) for k, n in count.items()}
+    scale = min(1.0, MAX_CENTROIDS / sum(wanted.values()))
+    first = {k: max(2, int(v * scale)) for k, v in wanted.items()}
+    rows = _sampled(reps, {k: SAMPLE_EACH * first[k] / n for k, n in count.items()}).limit(2 * MAX_CENTROIDS * SAMPLE_EACH).collect()
+    tops = {}
+    for label in wanted:
         got = sorted((r["rep"], bytes(r["unit"])) for r in rows if r["label"] == label)
         if not got:
             continue
         usual = max({len(u) for _, u in got}, key=[len(u) for _, u in got].count)
         x = np.stack([np.frombuffer(u, np.float64) for _, u in got if len(u) == usual])
-        out[label] = kmeans(x.copy(), want[label])
-    return out
+        tops[label] = kmeans(x.copy(), first[label])
+    if scale == 1.0 or not tops:
+        return tops
+    leaves = LEAF_BYTES // (8 * max(c.shape[1] for c in tops.values()))
+    room = min(1.0, leaves / sum(wanted.values()))
+    under = {k: max(1, int(wanted[k] * room / len(c))) for k, c in tops.items()}  # centroids under each first one, on average
+    shared = reps.sparkSession.sparkContext.broadcast(tops)
+
+    def nearest(batches):
+        for pdf in batches:
+            top = [_nearest(shared.value.get(k), np.frombuffer(u, np.float64)) for k, u in zip(pdf["label"], pdf["unit"], strict=True)]
+            yield pdf[["label", "rep", "unit"]].assign(top=top)
+
+    def fit(batches):
+        for pdf in by_run(batches, ["label", "top"]):
+            x = _stack(pdf)
+            for c in kmeans(x.copy(), max(1, min(len(x), -(-len(x) // SAMPLE_EACH)))):
+                yield pd.DataFrame({"label": [pdf["label"].iloc[0]], "centroid": [c.tobytes()]})
+
+    sample = _sampled(reps, {k: SAMPLE_EACH * under[k] * len(c) / count[k] for k, c in tops.items()})
+    placed = sample.mapInPandas(nearest, "label string, rep long, unit binary, top long").where("top >= 0")
+    order = F.row_number().over(Window.partitionBy("label", "top").orderBy(F.xxhash64("rep", F.lit(6)), "rep"))
+    bounded = placed.withColumn("k", order).where(F.col("k") <= LEAF_SAMPLE).select("label", "top", "rep", "unit")
+    fitted = bounded.repartition("label", "top").sortWithinPartitions("label", "top", "rep").mapInPandas(fit, "label string, centroid binary").limit(2 * leaves).collect()
+    out: dict[str, list] = {}
+    for label, c in sorted((r["label"], bytes(r["centroid"])) for r in fitted):
+        out.setdefault(label, []).append(np.frombuffer(c, np.float64))
+    return tops | {k: np.stack(v) for k, v in out.items()}
+
+
+def _sampled(reps: DataFrame, share: dict[str, float]) -> DataFrame:
+    """(label, rep, unit) of about that share of each label's rows, by a hash of rep; other labels give none."""
+    rows = reps.sparkSession.createDataFrame([(k, min(1.0, v)) for k, v in share.items()], "label string, share double")
+    place = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_003)) / 1_000_003
+    return reps.join(F.broadcast(rows), "label").where(place < F.col("share")).select("label", "rep", "unit")  # MAX_CENTROIDS / 2 rows at most
+
+
+def _nearest(c: np.ndarray | None, v: np.ndarray) -> int:
+    """The nearest of centroids c, -1 where there are none of v's length."""
+    return int((c @ v).argmax()) if c is not None and c.shape[1] == len(v) else -1
 
 
 def shards_of(v: np.ndarray, c: np.ndarray, least: float, spread: float) -> list[int]:
@@ -296,8 +330,9 @@ def shards_of(v: np.ndarray, c: np.ndarray, least: float, spread: float) -> list
     reach = chord * min(1.0, spread / np.sqrt(len(v)))
     near = c @ v
     best = int(near.argmax())
-    apart = np.sqrt(np.maximum(((c - c[best]) ** 2).sum(axis=1), 0.0))
-    return np.flatnonzero(near[best] - near <= reach * apart + 1e-9).tolist()
+    close = np.flatnonzero(near[best] - near <= 2 * reach + 1e-9)  # unit vectors are 2 apart at most
+    apart = np.sqrt(np.maximum(((c[close] - c[best]) ** 2).sum(axis=1), 0.0))
+    return close[near[best] - near[close] <= reach * apart + 1e-9].tolist()
 
 
 def _found(reps: DataFrame, centroids: dict[str, np.ndarray], least: float, spread: float, beam: int) -> DataFrame:

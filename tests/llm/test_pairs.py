@@ -133,6 +133,18 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+def test_near_duplicates_on_two_levels_of_centroids(spark, monkeypatch):
+    for name, value in {"BLOCK": 20, "MAX_CENTROIDS": 8, "LEAF_SAMPLE": 60}.items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = vectors(9, 400)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    units = neardup.unit_rows(df).selectExpr("label", "vec_id as rep", "unit")
+    centroids = neardup._centroids(units)
+    assert 12 < sum(map(len, centroids.values())) <= 60
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neardup.near_duplicates(df, 0.98).collect()}
+    assert got == brute({k: (np.array(v) / np.linalg.norm(v), label) for k, v, label in rows}, lambda a, b: a[1] == b[1] and a[0] @ b[0] >= 0.98)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [
         (1, [1.0, 0.0], 1, "a"), (2, [2.0, 0.0], 1, "b"), (3, [1.0, 0.0], 2, None), (4, [1.0, 0.0], None, None), (5, None, 1, None), (6, [0.0, 0.0], 1, None),
