@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int
     got: list[int] = []
 
     def texts():
-        for r in picked.orderBy("doc_id").toLocalIterator():
+        for r in picked.coalesce(1).sortWithinPartitions("doc_id").toLocalIterator():
             got.append(r["label"])
             yield words_of(r["text"])
 
