@@ -204,16 +204,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left = written(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     found: list[DataFrame] = []
-    while not left.isEmpty():
+    n = left.count()
+    while n:
         while True:  # edges that lie on no cycle because an end has no way in or out
             core = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             core = written(core.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
-            same = core.count() == left.count()
+            before, n = n, core.count()
             forget(left)
             left = core
-            if same:
+            if n in (0, before):
                 break
-        if left.isEmpty():
+        if not n:
             break
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         color = _spread(nodes.withColumn("color", F.col("id")), left, "colors")
@@ -228,7 +229,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = left.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti")
         rest = written(rest, "scc")
         forget(left)
-        left = rest
+        left, n = rest, rest.count()
     if not found:
         return ends.select("id", F.col("id").alias("component"))
     members = _union(found)
