@@ -395,6 +395,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, target: float = TARGET_REC
     flagged = may_hold(docs, "doc_id", touched, "__touched", maybe)
     open_ = flagged.where(F.col(maybe)).select(*columns)
     untouched = open_.join(touched, open_["doc_id"].cast("long") == F.col("__touched"), "left_anti")
+    plain = flagged.where(~F.col(maybe)).select(*columns).unionAll(untouched)
+    if many.isEmpty():
+        return plain
     # ids of several rows: which of them go is told by the gram set of each row
     ids = many.select(F.col("doc_id").alias("__many"))
     again = open_.join(ids, open_["doc_id"].cast("long") == F.col("__many"), "left_semi").withColumn(key_name, _set_key(F.col("text").cast("string")))
@@ -406,7 +409,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, target: float = TARGET_REC
         F.min_by(whole, F.struct(F.col("text").cast("string").alias("text"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("row"))).alias("__whole")
     )
     least = least.select("__whole.*")
-    return flagged.where(~F.col(maybe)).select(*columns).unionAll(untouched).unionAll(wordless).unionAll(least)
+    return plain.unionAll(wordless).unionAll(least)
 
 
 def _set_key(text: Column) -> Column:
