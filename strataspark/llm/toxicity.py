@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -108,9 +109,14 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
     labels = np.array(labels, np.int64)  # read after the texts, for `fit` learns them together
     if len(set(labels.tolist())) < 2:
         return Model(table, out, bias, learned=False)
-    subs = [subwords(w) for w in names]
-    n_sub = np.array([len(b) for b in subs], np.int64)
-    flat = np.concatenate([np.array(b, np.int64) for b in subs] or [np.zeros(0, np.int64)])
+    buckets, sizes = array("i"), array("i")
+    for w in names:  # one after the other, for as Python numbers they would fill the driver
+        own = subwords(w)
+        buckets.extend(own)
+        sizes.append(len(own))
+    del names
+    n_sub = np.array(sizes, np.int64)
+    flat = np.frombuffer(buckets, np.int32) if len(buckets) else np.zeros(0, np.int32)
     start = _runs(n_sub)
     in_texts = np.zeros(BUCKETS, np.int64)
     for own in lone:
@@ -129,7 +135,7 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
     flat, m_start = flat[moves], _runs(kept)
     bag_len = np.array([len(i) for i in bag_ids], np.int64)
     all_ids, all_x, bag_at = np.concatenate(bag_ids), np.concatenate(bag_x), _runs(bag_len)
-    del bag_ids, bag_x, lone, subs
+    del bag_ids, bag_x, lone
     windows = np.array(windows, np.int64)
     first, n_windows = _runs(windows), int(windows.sum())
     small = np.arange(n_windows, len(bag_len))
@@ -154,7 +160,7 @@ def train(texts: Iterable[list[str]], labels: list[int], steps: int = STEPS, rat
 
     m_t, v_t = np.zeros_like(table), np.zeros(BUCKETS, np.float32)  # what Adam keeps of each parameter
     mo, vo, mb, vb = np.zeros_like(out), np.zeros_like(out), np.zeros_like(bias), np.zeros_like(bias)
-    met, place = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    met, place = np.zeros(len(n_sub), bool), np.zeros(len(n_sub), np.int64)
     step, turn = 0, -1
     while step < steps:
         turn += 1
