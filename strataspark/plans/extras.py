@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import names
 from strataspark.operators import browse, edits, graph, impact, records, temporal
+from strataspark.plans import browse as browse_plans
+from strataspark.plans import services
 from strataspark.plans.contracts import _commits
 from strataspark.plans.diffs import _symbols
 from strataspark.plans.inputs import table, views, with_ctes
@@ -172,9 +174,7 @@ def source_packages(spark, sf_dir):
 
 
 def narrowing(spark, sf_dir):
-    from strataspark.plans.services import test_selection
-
-    return records.narrowing_ratio(test_selection(spark, sf_dir))
+    return records.narrowing_ratio(services.test_selection(spark, sf_dir))
 
 
 def suite_files(spark, sf_dir):
@@ -304,7 +304,11 @@ QUERIES = {f.__name__: f for f in (
 
 _C = """c as (select s_suppkey::bigint as oid, case when s_suppkey % 50 <> 1 then s_suppkey::bigint - 1 end as p1, case when s_suppkey % 9 = 0 and s_suppkey % 50 > 8 then s_suppkey::bigint - 7 end as p2 from supplier)"""
 
+_SUPPLY = with_ctes(" select * from supply", "supply")
+
 ORACLE = {
+    "narrowing": f"select (count(*) filter (where decision <> 'skip'))::bigint as selected, count(*)::bigint as total, round(1 - (count(*) filter (where decision <> 'skip')) / count(*), 9) as ratio from ({services.ORACLE['test_selection']})",
+    "universe_edges": f"with u as ({browse_plans.ORACLE['universe_projection']}) select * from ({_SUPPLY}) where src in (select id from u) and dst in (select id from u)",
     "graph_replace_files": with_ctes(""", held as (select src, dst, kind, s_nationkey as n from supply join supplier on dst = 's' || s_suppkey::varchar), e as (select dst, kind from held where n <> 3 union all select 'ns' || s_suppkey::varchar, 'calls' from supplier where s_nationkey = 3),
 ids as (select case when s_nationkey = 3 then 'n' else '' end || 's' || s_suppkey::varchar as id from supplier) select kind, dst in (select id from ids) as known, count(*)::bigint as n from e group by 1, 2""", "supply"),
     "graph_remove_symbols": with_ctes(""", g as (select id from symbols where kind = 'class') select kind, count(*)::bigint as edges, (select count(*) from symbols where kind <> 'class')::bigint as nodes from supply where src not in (select id from g) and dst not in (select id from g) group by 1""", "supply", "symbols"),
