@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataspark.functions import names
-from strataspark.operators import browse, edits, graph, impact, records, temporal
+from strataspark.operators import browse, contracts, edits, graph, impact, records, temporal
 from strataspark.plans import browse as browse_plans
 from strataspark.plans import services
-from strataspark.plans.contracts import _commits
+from strataspark.plans.contracts import _PAY, _commits
+from strataspark.plans.contracts import _facts as payload_facts
 from strataspark.plans.diffs import _symbols
 from strataspark.plans.inputs import table, views, with_ctes
 
@@ -294,8 +295,22 @@ def lineage_counts(spark, sf_dir):
     return temporal.lineage_summary(temporal.lineage_exact(*views(spark, sf_dir, "before_files", "after_files")))
 
 
+def flow_check(spark, sf_dir):
+    """The facts of `payload_changes` as what is sent and what is expected."""
+    sent, expected = (x.withColumnRenamed("subject", "flow") for x in payload_facts(spark, sf_dir))
+    return contracts.flow_findings(sent, expected).groupBy("finding").agg(F.count("*").alias("n"), F.countDistinct("flow").alias("flows"))
+
+
+def message_ways(spark, sf_dir):
+    """Orders as messages, line items as operations on them."""
+    messages = table(spark, sf_dir, "orders").select(F.lit("d").alias("path"), F.lit("message").alias("row"), F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("action"), F.array().cast("array<string>").alias("messages"))
+    action = F.when(F.col("l_returnflag") == "A", "send").when(F.col("l_returnflag") == "R", "receive")
+    ops = table(spark, sf_dir, "lineitem").select(F.lit("d"), F.lit("operation"), F.concat_ws("-", "l_orderkey", "l_linenumber"), action, F.array(F.col("l_orderkey").cast("string")))
+    return contracts.message_directions(messages.unionAll(ops)).groupBy("direction").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    graph_replace_files, graph_remove_symbols, graph_last_wins, graph_row_form, symbol_statuses, folder_clusters, semantic_verdicts, overall_coverage, edge_priority,
+    flow_check, message_ways, graph_replace_files, graph_remove_symbols, graph_last_wins, graph_row_form, symbol_statuses, folder_clusters, semantic_verdicts, overall_coverage, edge_priority,
     event_numbers, coverage_counts, federation_coverage, evidence_integrity, explain_finding, run_findings, team_references, declared_at, package_dependents,
     touched_entities, session_events, risk_and_dead, latest_snapshot, change_order, unknown_symbols, seeds_and_paths, source_packages, narrowing, suite_files,
     service_names, timeline_ends, revision_expressions, tree_files, lexical_hits, promotion, span_symbols, import_targets, commits_newest_first, symbol_names,
@@ -306,7 +321,15 @@ _C = """c as (select s_suppkey::bigint as oid, case when s_suppkey % 50 <> 1 the
 
 _SUPPLY = with_ctes(" select * from supply", "supply")
 
+_SIDES = _PAY[: _PAY.index("f as (select subject")].replace("['array', 'boolean', 'integer', 'null', 'number', 'object', 'string']", "[]::varchar[]")
+
 ORACLE = {
+    "flow_check": _SIDES + """x as (select subject, regexp_replace(pointer, '/[^/]*$', '') as pointer from j where gone),
+f as (select subject, pointer, unnest(list_filter([case when two and not ok then 'uncheckable' end, case when new and ar then 'required_property_not_produced' end, case when ok and len(at_) > 0 and not list_has_all(at_, bt) then 'type_not_accepted' end,
+  case when ok and ae and not be then 'enum_value_not_accepted' end, case when ok and ac and (not bc or (subject, pointer) in (select (subject, pointer) from x)) then 'additional_properties_rejected' end], lambda x: x is not null)) as finding from j)
+select finding, count(*)::bigint as n, count(distinct subject)::bigint as flows from f where (subject, regexp_replace(pointer, '/[^/]*$', '')) not in (select (subject, pointer) from j where not two or not ok) group by 1""",
+    "message_ways": """with m as (select o_orderkey, bool_or(l_returnflag = 'A') as s, bool_or(l_returnflag = 'R') as r from orders left join lineitem on l_orderkey = o_orderkey group by 1)
+select case when s and r then 'both' when s then 'emitted' when r then 'accepted' end as direction, count(*)::bigint as n from m group by 1""",
     "narrowing": f"select (count(*) filter (where decision <> 'skip'))::bigint as selected, count(*)::bigint as total, round(1 - (count(*) filter (where decision <> 'skip')) / count(*), 9) as ratio from ({services.ORACLE['test_selection']})",
     "universe_edges": f"with u as ({browse_plans.ORACLE['universe_projection']}) select * from ({_SUPPLY}) where src in (select id from u) and dst in (select id from u)",
     "graph_replace_files": with_ctes(""", held as (select src, dst, kind, s_nationkey as n from supply join supplier on dst = 's' || s_suppkey::varchar), e as (select dst, kind from held where n <> 3 union all select 'ns' || s_suppkey::varchar, 'calls' from supplier where s_nationkey = 3),
