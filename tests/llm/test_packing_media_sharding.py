@@ -175,8 +175,8 @@ def test_sharding_with_many_buckets(spark, monkeypatch):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(docs, 7).collect()} == whole
 
 
-def test_pack_ranks_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_ROWS", 20)
+def test_pack_ranks_over_many_blocks(spark):
+    """Each length has 55 pieces, in eight blocks."""
     pieces = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "id % 9 + 1 as length", "id as ids_crc32")
     rows = packing.pack(pieces, 10).collect()
     by: dict[int, int] = {}
