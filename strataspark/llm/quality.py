@@ -86,7 +86,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3,
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             idx, val, y = rows[k]
-            i, x = np.append(idx, size - 1), np.append(val, 0.3)
+            i, x = np.append(idx.astype(np.int64), size - 1), np.append(val, 0.3)
             w = current(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * weight[y] * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
@@ -112,8 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[i
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "idx": [i.astype("<i4").tobytes() for i, _ in got], "val": [v.tobytes() for _, v in got]})
 
     picked = one_text_each(docs, sample).select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, idx binary, val binary").collect()
-    picked.sort(key=lambda r: (r["doc_id"], bytes(r["idx"])))
-    return train_ftrl([(np.frombuffer(r["idx"], "<i4").astype(np.int64), np.frombuffer(r["val"], np.float32), r["label"]) for r in picked])
+    picked.sort(key=lambda r: r["doc_id"])  # an id comes once
+    # the vectors stay the 4-byte numbers that came; a row is widened while it is learned from
+    return train_ftrl([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], np.float32), r["label"]) for r in picked])
 
 
 def quality_score(text: Column, weights: np.ndarray, spark) -> Column:
