@@ -149,3 +149,33 @@ def test_numbering_and_blank_pattern(spark):
     assert all(r["k"] == r["at"] for r in n.collect())
     with pytest.raises(ValueError):
         browse.find_symbols(n, "  ")
+
+
+def test_hidden_coupling_shuffles_no_pairs(spark, monkeypatch):
+    """Pairs of files were shuffled, one for each resource that they share; blocks of files are now."""
+    from strataspark.operators import mining
+
+    monkeypatch.setattr(mining, "PAIR_ROWS", 1500, raising=False)
+    monkeypatch.setattr(mining, "CELLS", 1000, raising=False)
+    rows = [(f"r{k % 20}", f"p{k * 7 % 331}") for k in range(3000)] + [("r1", None), (None, "p1"), ("alone", "p999")]
+    by: dict = {}
+    for r, p in rows:
+        if r is not None and p is not None:
+            by.setdefault(r, set()).add(p)
+    want: dict = {}
+    for ps in by.values():
+        for a in ps:
+            for b in ps:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.length()))
+
+    before = written()
+    got = mining.hidden_coupling(spark.createDataFrame(rows, "resource string, path string")).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["resources"] for r in got} == want
+    assert written() - before < 8 * len(want)
+    assert not mining.hidden_coupling(spark.createDataFrame([], "resource string, path string")).collect()
