@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.members import may_hold
 from strataspark.functions.storage import forget, written
 from strataspark.functions.text import tokens
 
 #: Points of an as-of join that are broadcast, and slots of the timeline beyond that.
 MAX_POINTS, SLOTS = 1000, 64
+#: Buckets by which the rarity of tokens is told, 64-bit words of parity bits a set, tokens of a block of similar sets.
+LEVEL_BUCKETS, PARITY_WORDS, BLOCK_TOKENS = 1 << 21, 4, 400_000
 
 
 def fact_intervals(observations: DataFrame, timeline: DataFrame) -> DataFrame:
@@ -75,27 +83,126 @@ def lineage_exact(before: DataFrame, after: DataFrame) -> DataFrame:
     return sure.unionAll(left).unionAll(right)
 
 
+def _sketch(levels: Broadcast):
+    """A function of token hashes that gives the levels of the tokens and PARITY_WORDS words, bit b of which tells
+    whether an odd number of tokens falls on it: sets that differ in d tokens differ in d bits at most."""
+
+    @F.arrow_udf("struct<levels array<tinyint>, bits array<bigint>>")
+    def sketch(hashes: pa.Array) -> pa.Array:
+        at = np.concatenate(([0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
+        h = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        place = (h >> np.uint64(40)) % np.uint64(64 * PARITY_WORDS)
+        mask, word = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+        words = [np.bitwise_xor.reduceat(np.where(word == k, mask, np.uint64(0)), at[:-1]) for k in range(PARITY_WORDS)] if len(h) else []
+        bits = np.stack(words, 1).reshape(-1).view(np.int64) if words else np.zeros(0, np.int64)
+        level = levels.value[(h & np.uint64(LEVEL_BUCKETS - 1)).astype(np.int64)]
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(pa.array(at), pa.array(level)), pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * PARITY_WORDS), pa.array(bits))], ["levels", "bits"]
+        )
+
+    return sketch
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """A number for each of LEVEL_BUCKETS buckets of token hashes that grows with the rows that hold its tokens: 0 if one
+    row does or none, 127 at most. The driver gets the buckets above 0, 5 bytes each."""
+    buckets = sets.select(F.explode(F.transform("tokens", lambda x: F.xxhash64(x).bitwiseAND(F.lit(LEVEL_BUCKETS - 1)).cast("int"))).alias("bucket"))
+    held = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    got = held.select("bucket", F.least(F.lit(127), F.ceil(F.log2("n") * 5)).cast("tinyint").alias("level")).toArrow()
+    out = np.zeros(LEVEL_BUCKETS, np.int8)
+    out[got["bucket"].to_numpy()] = got["level"].to_numpy()
+    return out
+
+
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, ni, nj), i < j, of sets(id, tokens) that may be similar; none that is gets lost. Copies share their id.
+
+    Prefix filter: with tokens in any order that all sets share, here by levels of rarity and then by name, two similar
+    sets share one of the first |s| - ceil(threshold |s|) + 1. A pair meets where both have another token before one that
+    they share, so at the first that they share; it stays if sizes, parity bits and that place allow it."""
+    n = F.size("tokens")
+    sketch = _sketch(sets.sparkSession.sparkContext.broadcast(_levels(sets)))
+    rated = sets.select("id", n.alias("n"), "tokens", sketch(F.transform("tokens", lambda x: F.xxhash64(x))).alias("s"))
+    ranked = F.array_sort(F.zip_with("s.levels", "tokens", lambda level, w: F.struct(level.alias("level"), w.alias("w"))))
+    first = F.slice(ranked, F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    bits = [F.col("s.bits")[k].alias(f"b{k}") for k in range(PARITY_WORDS)]
+    each = rated.select("id", "n", *bits, first.alias("first")).select("*", F.posexplode("first").alias("at", "token"))
+    # a token of level 0 is in one row only; copies leave as rows of a partition that are equal
+    last = F.when(F.col("at") > 0, F.col("first")[F.col("at") - 1]["w"]).alias("last")
+    each = each.where("token.level > 0").select(F.col("token.w").alias("w"), last, "id", "n", (F.col("at") + 1).alias("at"), *[f"b{k}" for k in range(PARITY_WORDS)]).repartition("w").distinct()
+    x, y = each.alias("x"), each.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    like = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(threshold) - 1e-6) & (apart <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & ~F.coalesce(F.col("x.last") == F.col("y.last"), F.lit(False)) & like)
+    met = met.groupBy(F.col("x.id").alias("i"), F.col("y.id").alias("j"), F.col("x.n").alias("ni"), F.col("y.n").alias("nj"))
+    met = met.agg(F.min("x.at").alias("ai"), F.min("y.at").alias("aj"))
+    most = F.least(F.col("ni") - F.col("ai"), F.col("nj") - F.col("aj")) + 1
+    return met.where(most >= (F.col("ni") + F.col("nj")) * F.lit(threshold / (1 + threshold)) - 1e-6).select("i", "j", "ni", "nj")
+
+
+def _shared_tokens(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, common, union) of pairs(i, j, ni, nj) of ids of sets(id, tokens), counted on the tokens themselves.
+
+    Sets that are alike have the same home, the least id that they or a partner of theirs have; a home is cut into
+    blocks of about BLOCK_TOKENS tokens, pairs meet by pairs of blocks, and a set goes to each of these once."""
+    ends = pairs.select(F.col("i").alias("id"), F.col("ni").alias("n"), F.col("i").alias("near")).unionAll(pairs.select("j", "nj", "i"))
+    homes = ends.groupBy("id").agg(F.min("near").alias("home"), F.min("n").alias("n"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    block = F.struct("home", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"))
+    homes = written(homes.join(sizes, "home").select("id", block.alias("block")), "homes")
+    placed = pairs.join(homes.select(F.col("id").alias("i"), F.col("block").alias("bi")), "i").join(homes.select(F.col("id").alias("j"), F.col("block").alias("bj")), "j")
+    placed = written(placed.select(F.struct("bi", "bj").alias("key"), "i", "j"), "placed")
+    # only sets of pairs are shuffled
+    held = may_hold(sets.select("id", "tokens", F.xxhash64("id").alias("hash")), "hash", homes.select(F.xxhash64("id").alias("hash")), "hash", "asked")
+    held = held.where("asked").select("id", F.arrow_udf(_packed, "binary")(F.array_join("tokens", " ")).alias("packed")).dropDuplicates(["id"])
+    members = placed.select("key", F.col("i").alias("id")).unionAll(placed.select("key", "j")).distinct()
+    found = members.join(held, "id").groupBy("key").agg(F.collect_list(F.struct("id", "packed")).alias("found"))
+    asked = placed.groupBy("key").agg(F.collect_list(F.struct("i", "j")).alias("asked"))
+    counted = F.arrow_udf(_counted, "array<struct<i binary, j binary, common int, union int>>")
+    return found.join(asked, "key").select(F.explode(counted("found", "asked")).alias("p")).select("p.*")
+
+
+def _packed(texts: pa.Array) -> pa.Array:
+    return pa.array([zlib.compress(t.encode()) for t in texts.to_pylist()], pa.binary())
+
+
+def _counted(found: pa.Array, asked: pa.Array) -> pa.Array:
+    out = []
+    for sets, pairs in zip(found, asked, strict=True):
+        known = {s["id"]: frozenset(zlib.decompress(s["packed"]).split(b" ")) for s in sets.as_py()}
+        out.append([])
+        for p in pairs.as_py():
+            left, right = known[p["i"]], known[p["j"]]
+            common = len(left & right)
+            out[-1].append({"i": p["i"], "j": p["j"], "common": common, "union": len(left) + len(right) - common})
+    return pa.array(out, pa.list_(pa.struct([("i", pa.binary()), ("j", pa.binary()), ("common", pa.int32()), ("union", pa.int32())])))
+
+
+def similar_files(files: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(from_path, to_path, common, union) of files(path, text, before, after), two flags that tell the sides a file is
+    on, of different paths whose token sets have Jaccard similarity >= threshold, exactly.
+
+    Tokens are written once. Only rare tokens of a set, and the sets of pairs that may be similar, are shuffled; equal
+    sets stand once until the end."""
+    sets = files.select("path", "before", "after", tokens(F.col("text")).alias("tokens"))
+    # equal ids: equal digests of 128 bits
+    sets = sets.select("*", F.unhex(F.substring(F.sha2(F.array_join("tokens", " "), 256), 1, 32)).alias("id"))
+    sets = written(sets, "tokens").where(F.size("tokens") > 0)
+    pairs = written(_candidates(sets.select("id", "tokens"), threshold), "candidates")
+    links = written(_shared_tokens(sets.select("id", "tokens"), pairs).where(F.col("common") >= F.col("union") * F.lit(threshold)), "links")
+    copies = sets.groupBy("id").agg(F.max(F.size("tokens")).alias("n"), F.count("*").alias("rows"), F.max("before").alias("before"), F.max("after").alias("after"))
+    copies = copies.where("rows > 1 and before and after").select(F.col("id").alias("f"), F.col("id").alias("t"), "n", "n")
+    ways = links.select(F.col("i").alias("f"), F.col("j").alias("t"), "common", "union").unionAll(links.select("j", "i", "common", "union")).unionAll(copies)
+    left, right = sets.where("before").select(F.col("id").alias("f"), F.col("path").alias("from_path")), sets.where("after").select(F.col("id").alias("t"), F.col("path").alias("to_path"))
+    return ways.join(left, "f").join(right, "t").where("from_path <> to_path").select("from_path", "to_path", "common", "union")
+
+
 def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(from_path, to_path, common, union) of files(path, text) whose token sets have Jaccard similarity >= threshold.
-
-    Exact prefix filter: with tokens in order of rarity, two such sets share one of the first
-    |s| - ceil(threshold |s|) + 1. Only those tokens are joined, so common words make no pairs."""
-    def side(df, name):
-        return df.select(F.col("path").alias(f"{name}_path"), tokens(F.col("text")).alias(f"{name}_tokens")).where(F.size(f"{name}_tokens") > 0)
-
-    b, a = written(side(before, "from"), "tokens"), written(side(after, "to"), "tokens")  # read three times each
-    words = b.select(F.explode("from_tokens").alias("t")).unionAll(a.select(F.explode("to_tokens").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
-
-    def prefix(df, name):
-        each = df.select(f"{name}_path", F.size(f"{name}_tokens").alias("n"), F.explode(f"{name}_tokens").alias("t")).join(words, "t")
-        at = F.row_number().over(Window.partitionBy(f"{name}_path").orderBy("df", "t"))
-        return each.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(f"{name}_path", "t", F.col("n").alias(f"{name}_n"))
-
-    pairs = prefix(b, "from").join(prefix(a, "to"), "t").where("from_path <> to_path and least(from_n, to_n) >= greatest(from_n, to_n) * " + str(threshold))
-    full = pairs.select("from_path", "to_path").distinct().join(b, "from_path").join(a, "to_path")
-    common = F.size(F.array_intersect("from_tokens", "to_tokens"))
-    out = full.select("from_path", "to_path", common.alias("common"), (F.size("from_tokens") + F.size("to_tokens") - common).alias("union"))
-    return out.where(F.col("common") >= F.col("union") * F.lit(threshold))
+    """similar_files of two tables files(path, text)."""
+    yes, no = F.lit(True), F.lit(False)
+    sides = before.select("path", "text", yes.alias("before"), no.alias("after")).unionAll(after.select("path", "text", no, yes))
+    return similar_files(sides, threshold)
 
 
 def best_match(pairs: DataFrame, margin: float = 0.05) -> DataFrame:

@@ -46,19 +46,18 @@ def lineage_exact(spark, sf_dir):
     return temporal.lineage_exact(*views(spark, sf_dir, "before_files", "after_files"))
 
 
-def _sides(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+def _similar(spark, sf_dir):
     path = F.concat(F.lit("src/"), F.col("doc_id").cast("string")).alias("path")
-    return d.where("doc_id % 3 <> 0").select(path, "text"), d.where("doc_id % 3 <> 1").select(path, "text")
+    files = table(spark, sf_dir, "documents").select(path, "text", F.expr("doc_id % 3 <> 0").alias("before"), F.expr("doc_id % 3 <> 1").alias("after"))
+    return temporal.similar_files(files.where("before or after"), 0.85)
 
 
 def lineage_similar(spark, sf_dir):
-    pairs = temporal.similar_pairs(*_sides(spark, sf_dir), 0.85)
-    return pairs.select("from_path", "to_path", F.col("common").cast("bigint").alias("common"), F.col("union").cast("bigint").alias("all_tokens"))
+    return _similar(spark, sf_dir).select("from_path", "to_path", F.col("common").cast("bigint").alias("common"), F.col("union").cast("bigint").alias("all_tokens"))
 
 
 def lineage_best(spark, sf_dir):
-    best = temporal.best_match(temporal.similar_pairs(*_sides(spark, sf_dir), 0.85))
+    best = temporal.best_match(_similar(spark, sf_dir))
     return best.select("from_path", "to_path", F.round("similarity", 9).alias("similarity"), "ambiguous")
 
 

@@ -151,6 +151,27 @@ def test_numbering_and_blank_pattern(spark):
         browse.find_symbols(n, "  ")
 
 
+def test_similar_files_shuffle_rare_tokens_only(spark):
+    """Each token of both sides, three times, before; then a few rare ones of a file, and the sets of pairs."""
+    from strataspark.operators import temporal
+
+    texts = [(f"p{k}", " ".join(f"w{(k * 7919 + j * j * 31) % 20_000}" for j in range(400))) for k in range(300)]
+    texts += [(f"q{k}", texts[k][1] + " more words") for k in range(0, 300, 10)] + [("r", ""), ("s", None)]
+    files = spark.createDataFrame(texts, "path string, text string")
+    stages = spark.sparkContext._jsc.sc().statusStore()
+    sets = {p: set(t.split()) for p, t in texts if t}
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = stages.executorList(True)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.length()))
+
+    before = shuffled()
+    got = {(r["from_path"], r["to_path"]): (r["common"], r["union"]) for r in temporal.similar_pairs(files, files, 0.85).collect()}
+    assert got == {(a, b): (len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items() if a != b and len(x & y) >= 0.85 * len(x | y)}
+    assert got and shuffled() - before < 4_000_000
+
+
 def test_hidden_coupling_shuffles_no_pairs(spark, monkeypatch):
     """Pairs of files were shuffled, one for each resource that they share; blocks of files are now."""
     from strataspark.operators import mining
