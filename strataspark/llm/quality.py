@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, trim
+from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, release, trim
 
 BITS = 18
 #: Rows learned from, at most, of each label.
@@ -114,7 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict[i
     picked = one_text_each(docs, sample).select("doc_id", "label", "text").mapInPandas(run, "doc_id long, label int, idx binary, val binary").collect()
     picked.sort(key=lambda r: r["doc_id"])  # an id comes once
     # the vectors stay the 4-byte numbers that came; a row is widened while it is learned from
-    return train_ftrl([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], np.float32), r["label"]) for r in picked])
+    weights = train_ftrl([(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], np.float32), r["label"]) for r in picked])
+    del picked
+    release()
+    return weights
 
 
 def quality_score(text: Column, weights: np.ndarray, spark) -> Column:

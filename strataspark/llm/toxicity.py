@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, trim
+from strataspark.llm.common import fold, labelled_sample, memo, one_text_each, release, trim
 
 BUCKETS, DIM = 1 << 17, 4
 #: Neutral words that every text gets besides its own, so that a word weighs less in a text of a few words.
@@ -222,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[int
             got.append(r["label"])
             yield words_of(r["text"])
 
-    return train(texts(), got)
+    model = train(texts(), got)
+    release()
+    return model
 
 
 _LIMIT = 400_000

@@ -334,3 +334,15 @@ def test_assigned_values_of_any_form(spark, forest):
     assert masked == {k: t.replace(v, "[SECRET]") for k, (t, v) in enumerate(texts.items())}
     plain = spark.createDataFrame([(1, "the author: someone\nwrote hunter2"), (2, "password=hunter2 and hunter2 again")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(plain, forest).collect()} == {1: "the author: someone\nwrote hunter2", 2: "password=[SECRET] and hunter2 again"}
+
+
+def test_fits_give_their_memory_back(spark, monkeypatch):
+    from strataspark.llm import quality, toxicity
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    for operator in (quality, toxicity):
+        calls = []
+        monkeypatch.setattr(operator, "release", lambda calls=calls: calls.append(1))
+        operator.fit(docs, labels)
+        assert calls == [1]
